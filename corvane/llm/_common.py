@@ -90,7 +90,7 @@ class SpanHash:
     def spans(self, start: np.ndarray, length) -> np.ndarray:
         """Of words start .. start + length - 1; equal spans have equal hashes wherever they stand."""
         value = (self.prefix[start + length] - self.prefix[start]) * self.back[start]
-        return mix(value + mix(np.asarray(length).astype(np.uint64) + np.uint64(1)))
+        return mix(value + mix(np.atleast_1d(length).astype(np.uint64) + np.uint64(1)))
 
 
 def index_words(texts: pa.Array | list[bytes], lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:

@@ -162,27 +162,33 @@ class WordBPE:
 
     def library_texts(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """As encode_texts, by the tokenizers library."""
+        return gather_words(texts, self.library_lists)
+
+    def library_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after the other, and where each begins."""
+        return flat(self.library_lists(words))
+
+    def library_lists(self, words: list[str]) -> list[list[int]]:
+        known = self.by_library
+        new = [w for w in words if w not in known]
+        own = {w: e.ids for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False))}
+        out = [own[w] if w in own else known[w] for w in words]
+        if len(known) + len(own) > PIECES_KEPT:
+            known.clear()
+        known.update(own)
+        return out
 
-        def encode(words: list[str]) -> list[list[int]]:
-            known = self.by_library
-            new = [w for w in words if w not in known]
-            own = {w: e.ids for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False))}
-            out = [own[w] if w in own else known[w] for w in words]
-            if len(known) + len(own) > PIECES_KEPT:
-                known.clear()
-            known.update(own)
-            return out
 
-        return gather_words(texts, encode)
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    start = np.zeros(len(lists) + 1, np.int64)
+    np.cumsum([len(x) for x in lists], out=start[1:])
+    return np.fromiter((i for x in lists for i in x), np.uint32, int(start[-1])), start
 
 
 def gather_words(texts, encode) -> tuple[np.ndarray, np.ndarray]:
     words, index, ends = C.index_words(texts)
-    lists = encode([w.decode() for w in words])
-    start = np.zeros(len(lists) + 1, np.int64)
-    np.cumsum([len(x) for x in lists], out=start[1:])
-    flat = np.fromiter((i for x in lists for i in x), np.uint32, int(start[-1]))
-    ids, size = C.gather(flat, start, index)
+    ids, start = flat(encode([w.decode() for w in words]))
+    ids, size = C.gather(ids, start, index)
     by_word = np.zeros(len(index) + 1, np.int64)
     np.cumsum(size, out=by_word[1:])
     return ids, by_word[ends]
