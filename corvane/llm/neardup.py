@@ -11,8 +11,10 @@ threshold.  Candidates are confirmed on the full sets.
 Within a bucket (the rows of one band key) pairs are not listed.  First all are
 compared with the bucket's smallest id.  After joining what that links, only
 buckets of three rows or more that still hold several components are left; blocks
-of their members are compared sketch by sketch inside one task, and only pairs
-of different components that the sketches let pass come out, to be confirmed.
+of their members are compared sketch by sketch inside one task.  Pairs that pass
+are held against odd sketches of the full sets: the XOR count never exceeds the
+sets' difference, so a count above what the threshold allows refutes a pair for
+certain.  Only what is left, of different components, comes out to be confirmed.
 Nothing is capped: every pair of a bucket is confirmed, refuted, or known to be
 connected.
 
@@ -97,8 +99,65 @@ def most_xor(threshold: float, samples: int, bits: int, sigmas: float = SIGMAS)
     return int(mean + sigmas * np.sqrt(min(2 * d, bits / 4)))
 
 
+def whole_sketch(s: np.ndarray) -> bytes:
+    """An odd sketch of a full set: about 4 to 8 bits for each shingle, a power of two in all."""
+    bits = max(256, 1 << int(4 * len(s) - 1).bit_length())
+    flat = np.bincount((C.mix(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flat.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Members:
+    """Rows of a block: ids, components, set sizes, MinHash sketches, and the sketches of full sets by their length."""
+
+    def __init__(self, members: pa.Scalar):
+        rows = members.values
+        self.ids, self.own, self.n = (np.asarray(rows.field(c), np.int64) for c in ("doc_id", "component", "n_shingles"))
+        self.sketch = np.asarray(rows.field("sketch").flatten(), np.int64).view(np.uint64).reshape(len(rows), -1)
+        raw = rows.field("odd").to_pylist()
+        self.words = np.array([len(x) // 8 for x in raw], np.int64)
+        self.row = np.zeros(len(raw), np.int64)
+        self.odd = {}
+        for w in np.unique(self.words).tolist():
+            at = np.flatnonzero(self.words == w)
+            self.row[at] = np.arange(len(at))
+            self.odd[w] = np.frombuffer(b"".join(raw[i] for i in at), "<u8").reshape(len(at), w)
+
+
+def fold(x: np.ndarray, words: int) -> np.ndarray:
+    while x.shape[1] > words:
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return x
+
+
+def unrefuted(x: Members, y: Members, most: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in x and y of pairs of different components that no sketch rules out."""
+    found = []
+    for at in range(0, len(x.ids), 64):
+        part = slice(at, at + 64)
+        differ = np.zeros((len(x.ids[part]), len(y.ids)), np.uint16)
+        for w in range(x.sketch.shape[1]):
+            differ += np.bitwise_count(x.sketch[part, w, None] ^ y.sketch[None, :, w])
+        small, large = np.minimum(x.n[part, None], y.n[None, :]), np.maximum(x.n[part, None], y.n[None, :])
+        p, q = np.nonzero((differ <= most) & (x.own[part, None] != y.own[None, :]) & (100 * small >= percent * large))
+        p += at
+        allowed = (x.n[p] + y.n[q]) * (100 - percent) // (100 + percent)
+        keep = np.zeros(len(p), bool)
+        kind = x.words[p] << 32 | y.words[q]
+        for k in np.unique(kind).tolist():
+            pair = np.flatnonzero(kind == k)
+            wx, wy = k >> 32, k & 0xFFFFFFFF
+            step = max(1, (1 << 18) // max(wx, wy))
+            for i in range(0, len(pair), step):
+                own = pair[i : i + step]
+                a, b = (fold(m.odd[w][m.row[r[own]]], min(wx, wy)) for m, w, r in ((x, wx, p), (y, wy, q)))
+                keep[own] = np.bitwise_count(a ^ b).sum(1) <= allowed[own]
+        found.append((p[keep], q[keep]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def signatures(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, bands, sketch); the last four are null for an empty set."""
+    """(doc_id, n_shingles, h1, h2, bands, sketch, odd); the last five are null for an empty set."""
 
     def step(batch):
         sets = shingle_sets(batch.column("text"), k)
@@ -112,9 +171,9 @@ def signatures(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int
         h1 = pa.array([int(C.signed(C.mix(s).sum(keepdims=True))[0]) for s in full], pa.int64())
         h2 = pa.array([int(C.signed(C.mix(C.mix(s) + np.uint64(7)).sum(keepdims=True))[0]) for s in full], pa.int64())
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(C.signed(np.ascontiguousarray(x).ravel())), x.shape[1]).cast(pa.list_(pa.int64())) for x in (band_keys(samples, rows), odd_sketch(samples))]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), *(x.take(take) for x in (h1, h2, *lists))], ["doc_id", "n_shingles", "h1", "h2", "bands", "sketch"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), *(x.take(take) for x in (h1, h2, *lists, pa.array([whole_sketch(s) for s in full], pa.binary())))], ["doc_id", "n_shingles", "h1", "h2", "bands", "sketch", "odd"])
 
-    return C.map_arrow(docs, step, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch array<long>")
+    return C.map_arrow(docs, step, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch array<long>, odd binary")
 
 
 def sketches_pass(pairs: DataFrame, sketch: DataFrame, most: int, bits: int) -> DataFrame:
@@ -149,32 +208,24 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     return two.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long").distinct()
 
 
-def cross_pairs(keys: DataFrame, labels: DataFrame, sketch: DataFrame, most: int) -> DataFrame:
+def cross_pairs(keys: DataFrame, labels: DataFrame, reps: DataFrame, most: int, percent: int) -> DataFrame:
     """Pairs of different components within the buckets of keys (key, doc_id) that their sketches let pass."""
     labelled = keys.join(labels.select("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     open_keys = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("size > 2 and lo != hi").select("key", "size")
     open_keys = C.settle(open_keys, "open")
-    rows = labelled.join(open_keys, "key").join(sketch.select("doc_id", "sketch"), "doc_id")
+    rows = labelled.join(open_keys, "key").join(reps.select("doc_id", "n_shingles", "sketch", "odd"), "doc_id")
     rows = rows.withColumn("blocks", F.ceil(F.col("size") / MEMBERS_A_BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    blocks = C.settle(rows.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("doc_id", "component", "sketch")).alias("members")), "blocks")
+    blocks = C.settle(rows.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("doc_id", "component", "n_shingles", "sketch", "odd")).alias("members")), "blocks")
     left = blocks.select("key", "block", "members", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other"))
     met = left.join(blocks.select("key", F.col("block").alias("other"), F.col("members").alias("others")), ["key", "other"])
 
-    def unpack(members):
-        rows = members.values
-        return np.asarray(rows.field("doc_id"), np.int64), np.asarray(rows.field("component"), np.int64), np.asarray(rows.field("sketch").flatten(), np.int64).view(np.uint64).reshape(len(rows), -1)
-
     def compare(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, own, x = unpack(batch.column("members")[i])
-                ids2, own2, y = unpack(batch.column("others")[i])
-                differ = np.zeros((len(ids), len(ids2)), np.uint16)
-                for w in range(x.shape[1]):
-                    differ += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
-                p, q = np.nonzero((differ <= most) & (own[:, None] != own2[None, :]))
-                pair = np.stack([np.minimum(ids[p], ids2[q]), np.maximum(ids[p], ids2[q])])
+                x, y = Members(batch.column("members")[i]), Members(batch.column("others")[i])
+                p, q = unrefuted(x, y, most, percent)
+                pair = np.unique(np.stack([np.minimum(x.ids[p], y.ids[q]), np.maximum(x.ids[p], y.ids[q])]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
 
     return met.select("members", "others").mapInArrow(compare, "a long, b long").distinct()
@@ -186,7 +237,7 @@ def classes(docs: DataFrame, percent: int, k: int = SHINGLE, bands: int = BANDS,
     real = signed.where("n_shingles > 0 and doc_id is not null")
     same = C.settle(real.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep")), "same")
     reps = real.join(same.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
-    reps = C.settle(reps.select("doc_id", "bands", "sketch"), "representatives")
+    reps = C.settle(reps.select("doc_id", "n_shingles", "bands", "sketch", "odd"), "representatives")
     sketch = reps.select("doc_id", "sketch")
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = C.settle(keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a != z").select("key", "a"), "buckets")
@@ -198,7 +249,7 @@ def classes(docs: DataFrame, percent: int, k: int = SHINGLE, bands: int = BANDS,
     twins = real.join(same, ["n_shingles", "h1", "h2"]).where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     edges = C.settle(confirm(first, docs, k, percent), "links")
     labels = components(edges)
-    rest = C.settle(cross_pairs(keys.select("key", "doc_id").distinct(), labels.withColumnRenamed("id", "doc_id"), sketch, most), "rest")
+    rest = C.settle(cross_pairs(keys.select("key", "doc_id").distinct(), labels.withColumnRenamed("id", "doc_id"), reps, most, percent), "rest")
     if not rest.isEmpty():
         edges = edges.unionByName(confirm(rest, docs, k, percent))
     labels = components(edges.unionByName(twins))
