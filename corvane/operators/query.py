@@ -1,0 +1,194 @@
+"""Boolean and proximity queries (AND OR NOR NOT NEAR/n, phrases, ``*`` and ``?``) compiled to Column expressions.
+
+Grammar, from loosest: OR and NOR (left to right), AND, NEAR/n (left to right), NOT.
+A query becomes one struct of expressions over a token array: whether it holds and
+the token spans it holds by.  NOT and NOR hold without spans.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from corvane.functions import text as T
+
+LEX = re.compile(r"\s*(?:(\()|(\))|\"([^\"]*)\"|'([^']*)'|([^\s()\"']+))")
+OPERATORS = ("AND", "OR", "NOR", "NOT")
+
+
+@dataclass(frozen=True)
+class Term:
+    words: tuple[str, ...]
+
+
+@dataclass(frozen=True)
+class Op:
+    kind: str
+    args: tuple
+    n: int = 0
+
+
+def lex(query: str) -> list[tuple[str, str]]:
+    """(kind, text): kinds are ( ) op near word phrase.  A quoted operator is a word."""
+    out, at = [], 0
+    query = query.strip()
+    while at < len(query):
+        m = LEX.match(query, at)
+        if not m:
+            raise ValueError(f"unbalanced quote at {at}")
+        at = m.end()
+        if m[1] or m[2]:
+            out.append((m[1] or m[2], ""))
+        elif m[3] is not None or m[4] is not None:
+            out.append(("phrase", m[3] if m[3] is not None else m[4]))
+        elif m[5] in OPERATORS:
+            out.append(("op", m[5]))
+        elif re.fullmatch(r"NEAR/\d+", m[5]):
+            out.append(("near", m[5][5:]))
+        else:
+            # an operator glued to a closed wildcard, as in texture*AND
+            glued = re.fullmatch(r"(.+\*)(AND|OR|NOR|NOT)", m[5])
+            out += [("word", glued[1]), ("op", glued[2])] if glued else [("word", m[5])]
+    return out
+
+
+def parse(query: str):
+    toks = lex(query)
+    at = 0
+
+    def peek():
+        return toks[at] if at < len(toks) else ("end", "")
+
+    def take():
+        nonlocal at
+        at += 1
+        return toks[at - 1]
+
+    def primary():
+        kind, value = peek()
+        if kind == "(":
+            take()
+            inner = either()
+            if peek()[0] != ")":
+                raise ValueError("a parenthesis is not closed")
+            take()
+            return inner
+        if kind == "phrase":
+            take()
+            return Term(tuple(value.lower().split()))
+        if kind == "word":
+            words = []
+            while peek()[0] == "word":
+                words.append(take()[1].lower())
+            return Term(tuple(words))
+        raise ValueError(f"a term is missing before {value or kind}")
+
+    def negated():
+        if peek() == ("op", "NOT"):
+            take()
+            return Op("NOT", (negated(),))
+        return primary()
+
+    def close():
+        left = negated()
+        while peek()[0] == "near":
+            n = int(take()[1])
+            left = Op("NEAR", (left, negated()), n)
+        return left
+
+    def both():
+        left = close()
+        while peek() == ("op", "AND"):
+            take()
+            left = Op("AND", (left, close()))
+        return left
+
+    def either():
+        left = both()
+        while peek() in (("op", "OR"), ("op", "NOR")):
+            kind = take()[1]
+            left = Op(kind, (left, both()))
+        return left
+
+    if not toks:
+        raise ValueError("the query is empty")
+    tree = either()
+    if at < len(toks):
+        raise ValueError(f"unexpected {toks[at][1] or toks[at][0]}")
+    return tree
+
+
+def leaves(tree) -> list[Term]:
+    return [tree] if isinstance(tree, Term) else [t for a in tree.args for t in leaves(a)]
+
+
+NO_SPANS = "array<struct<a:int,b:int>>"
+
+
+def let(value: Column, body) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
+def compile_query(tree, toks: Column) -> Column:
+    """struct(ok, spans) over a token array; spans are half-open token ranges.
+
+    Every operand is bound once: an expression named twice in a lambda is computed twice.
+    """
+    none = F.array().cast(NO_SPANS)
+    result = lambda ok, spans: F.struct(ok.alias("ok"), spans.alias("spans"))
+    if isinstance(tree, Term):
+        size = len(tree.words)
+        starts = F.when(F.size(toks) >= size, F.sequence(F.lit(0), F.greatest(F.size(toks) - size, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+
+        def matches(j):
+            out = F.lit(True)
+            for i, w in enumerate(tree.words):
+                tok = F.get(toks, j + i)
+                out = out & tok.rlike(T.query_pattern(w)) & ~T.glued(tok)
+            return out
+
+        spans = F.transform(F.filter(starts, matches), lambda j: F.struct(j.alias("a"), (j + size).alias("b")))
+        return let(spans, lambda s: result(F.size(s) > 0, s))
+    if tree.kind == "NOT":
+        return let(compile_query(tree.args[0], toks), lambda v: result(~v["ok"], none))
+    both = F.struct(*[compile_query(a, toks).alias(c) for a, c in zip(tree.args, "lr")])
+
+    def join(v):
+        ok1, s1, ok2, s2 = v["l"]["ok"], v["l"]["spans"], v["r"]["ok"], v["r"]["spans"]
+        if tree.kind == "NOR":
+            return result(~(ok1 | ok2), none)
+        if tree.kind == "OR":
+            return result(ok1 | ok2, F.concat(s1, s2))
+        if tree.kind == "AND":
+            return result(ok1 & ok2, F.when(ok1 & ok2, F.array_distinct(F.concat(s1, s2))).otherwise(none))
+        near = F.flatten(F.flatten(F.transform(s1, lambda p: F.transform(F.filter(s2, lambda q: span_distance(p, q) <= tree.n), lambda q: F.array(p, q)))))
+        return let(F.array_distinct(near), lambda s: result(F.size(s) > 0, s))
+
+    return let(both, join)
+
+
+def span_distance(p: Column, q: Column) -> Column:
+    """Token distance of the nearest ends; neighbours have 1, overlapping spans 0."""
+    return F.when((p["a"] < q["b"]) & (q["a"] < p["b"]), 0).when(p["b"] <= q["a"], q["a"] - p["b"] + 1).otherwise(p["a"] - q["b"] + 1)
+
+
+def search(ctx: DataFrame, query: str) -> DataFrame:
+    """Contexts for which the query holds: (doc_id, line, context, spans, forms)."""
+    tree = parse(query)
+
+    def evaluate(toks):
+        forms = lambda spans: F.transform(spans, lambda s: F.array_join(F.slice(toks, s["a"] + 1, s["b"] - s["a"]), " "))
+        return let(compile_query(tree, toks), lambda v: F.struct(v["ok"].alias("ok"), v["spans"].alias("spans"), F.array_distinct(forms(v["spans"])).alias("forms")))
+
+    found = ctx.select("doc_id", "line", "context", let(T.tokens(F.col("context"), T.QUERY_TOKEN), evaluate).alias("q")).where("q.ok")
+    return found.select("doc_id", "line", "context", "q.spans", "q.forms")
+
+
+def snippet(toks: Column, span: Column, width: int = 12) -> Column:
+    """width tokens to both sides of a span, which is marked."""
+    before = F.slice(toks, F.greatest(span["a"] - width, F.lit(0)) + 1, F.least(span["a"], F.lit(width)))
+    inside, after = F.slice(toks, span["a"] + 1, span["b"] - span["a"]), F.slice(toks, span["b"] + 1, width)
+    return F.concat_ws(" ", F.array_join(before, " "), F.concat(F.lit("«"), F.array_join(inside, " "), F.lit("»")), F.array_join(after, " "))
