@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from corvane.llm import _common as C
 
 #: Pieces a worker remembers before it starts anew; this bounds memory, not results.
-PIECES_KEPT = 500_000
+PIECES_KEPT = 400_000
 NONE = 1 << 62
 
 
@@ -164,14 +164,14 @@ class WordBPE:
         """As encode_texts, by the tokenizers library."""
         return gather_words(texts, self.library_lists)
 
-    def library_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words, one after the other, and where each begins."""
-        return flat(self.library_lists(words))
+    def new_lists(self, words: list[str], step: int = 4096) -> list[list[int]]:
+        """Ids of each word by the library, a few thousand at a time: its encodings are large."""
+        return [e.ids for i in range(0, len(words), step) for e in self.library.encode_batch_fast(words[i : i + step], add_special_tokens=False)]
 
     def library_lists(self, words: list[str]) -> list[list[int]]:
         known = self.by_library
         new = [w for w in words if w not in known]
-        own = {w: e.ids for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False))}
+        own = dict(zip(new, self.new_lists(new)))
         out = [own[w] if w in own else known[w] for w in words]
         if len(known) + len(own) > PIECES_KEPT:
             known.clear()
