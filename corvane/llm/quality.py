@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from corvane.llm import _common as C
 
-LABELLED = 8000
-POOL = 4000
+LABELLED = 6000
+POOL = 3000
 ROUNDS = 3
 SHARE = 0.05  # of the pool that each class gains from a view in a round
 WORD_BUCKETS = 1 << 18
@@ -55,6 +55,12 @@ class Sparse:
         return Sparse(column, np.concatenate([[0], np.cumsum(size[keep])]), self.dense[keep])
 
 
+def stacked(parts: list[Sparse]) -> Sparse:
+    before = np.concatenate([[0], np.cumsum([len(p.column) for p in parts])])
+    ends = np.concatenate([[0], *(p.ends[1:] + b for p, b in zip(parts, before))]).astype(np.int64)
+    return Sparse(np.concatenate([p.column for p in parts]), ends, np.concatenate([p.dense for p in parts]))
+
+
 def text_view(text: pa.Array) -> Sparse:
     """Distinct words and word beginnings of each text, in buckets, and numbers on its shape."""
     words, index, ends = C.index_words(text, lower=True)
@@ -70,7 +76,7 @@ def text_view(text: pa.Array) -> Sparse:
         size = max(1, len(raw))
         letters = max(1, by[65:91].sum() + by[97:123].sum() + by[128:].sum())
         dense[i] = by[65:91].sum() / letters, by[48:58].sum() / size, by[33] / size, by[124] / size, by[10] / size, (by[33:48].sum() + by[58:65].sum()) / size, np.log1p(len(raw)), (own[i + 1] - own[i]) / max(1, ends[i + 1] - ends[i])
-    return Sparse(pairs % WORD_BUCKETS, own, dense)
+    return Sparse((pairs % WORD_BUCKETS).astype(np.int32), own, dense)
 
 
 def meta_view(source: pa.Array, lang: pa.Array, n_chars: pa.Array) -> Sparse:
@@ -139,7 +145,7 @@ class CoTrained:
             for k in range(2):
                 got = np.array(sorted(given[k]), np.int64)
                 mine, extra = views[k].rows(fit), pool[k].rows(got)
-                both = Sparse(np.concatenate([mine.column, extra.column]), np.concatenate([mine.ends, extra.ends[1:] + mine.ends[-1]]), np.concatenate([mine.dense, extra.dense]))
+                both = stacked([mine, extra])
                 target = np.concatenate([y[fit], [given[k][i] for i in got.tolist()]])
                 self.models.append(Logistic(sizes[k], L2).fit(both, target, np.concatenate([np.ones(len(fit)), np.full(len(got), 0.5)])))
             self.scale = [calibrate(m.logits(views[k].rows(hold)), y[hold]) for k, m in enumerate(self.models)]
@@ -168,9 +174,14 @@ def columns_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
 
 
-def views_of(t) -> list[Sparse]:
-    column = lambda c: t.column(c).combine_chunks() if isinstance(t, pa.Table) else t.column(c)
-    return [text_view(column("text")), meta_view(column("source"), column("lang"), column("n_chars"))]
+def views_of(batch: pa.RecordBatch) -> list[Sparse]:
+    return [text_view(batch.column("text")), meta_view(*(batch.column(c) for c in ("source", "lang", "n_chars")))]
+
+
+def views_of_all(t: pa.Table) -> list[Sparse]:
+    """The views of a sample, a few hundred rows at a time: the driver never holds all words of it."""
+    parts = [views_of(b) for b in t.combine_chunks().to_batches(max_chunksize=400)] or [views_of(pa.RecordBatch.from_pylist([], t.schema))]
+    return [stacked(list(x)) for x in zip(*parts)]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
@@ -183,7 +194,9 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
         return None
     other = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("pool")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, POOL / max(1, n_docs))))
     pool = other.join(known.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left_anti").toArrow().sort_by("doc_id")
-    return CoTrained(views_of(rows), np.asarray(rows.column("y"), np.float64), views_of(pool))
+    y, known_views = np.asarray(rows.column("y"), np.float64), views_of_all(rows)
+    del rows
+    return CoTrained(known_views, y, views_of_all(pool))
 
 
 def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
