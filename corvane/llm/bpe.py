@@ -16,6 +16,7 @@ null id, are encoded like any other.
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from corvane.llm import _common as C
 
 #: Pieces a worker remembers before it starts anew; this bounds memory, not results.
-PIECES_KEPT = 400_000
+PIECES_KEPT = 200_000
 NONE = 1 << 62
 
 
@@ -69,7 +70,7 @@ class WordBPE:
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
         self.ascii = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.known: dict[str, list[int]] = {}
-        self.by_library: dict[str, list[int]] = {}
+        self.by_library: dict[str, bytes] = {}
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Merge by the segment tree until no adjacent pair has a rank."""
@@ -158,36 +159,34 @@ class WordBPE:
 
     def encode_texts(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text starts."""
-        return gather_words(texts, lambda words: [self.encode(w) for w in words])
+        return gather_words(texts, lambda words: [array("I", self.encode(w)).tobytes() for w in words])
 
     def library_texts(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """As encode_texts, by the tokenizers library."""
-        return gather_words(texts, self.library_lists)
+        return gather_words(texts, self.library_ids)
 
-    def new_lists(self, words: list[str], step: int = 4096) -> list[list[int]]:
-        """Ids of each word by the library, a few thousand at a time: its encodings are large."""
-        return [e.ids for i in range(0, len(words), step) for e in self.library.encode_batch_fast(words[i : i + step], add_special_tokens=False)]
+    def new_ids(self, words: list[str], step: int = 4096) -> list[bytes]:
+        """Ids of each word by the library, as 32-bit integers; a few thousand words at a time, as its encodings are large."""
+        return [array("I", e.ids).tobytes() for i in range(0, len(words), step) for e in self.library.encode_batch_fast(words[i : i + step], add_special_tokens=False)]
 
-    def library_lists(self, words: list[str]) -> list[list[int]]:
+    def library_ids(self, words: list[str]) -> list[bytes]:
         known = self.by_library
         new = [w for w in words if w not in known]
-        own = dict(zip(new, self.new_lists(new)))
+        own = dict(zip(new, self.new_ids(new)))
         out = [own[w] if w in own else known[w] for w in words]
         if len(known) + len(own) > PIECES_KEPT:
             known.clear()
-        known.update(own)
+        if len(own) <= PIECES_KEPT:
+            known.update(own)
         return out
 
 
-def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    start = np.zeros(len(lists) + 1, np.int64)
-    np.cumsum([len(x) for x in lists], out=start[1:])
-    return np.fromiter((i for x in lists for i in x), np.uint32, int(start[-1])), start
-
-
 def gather_words(texts, encode) -> tuple[np.ndarray, np.ndarray]:
     words, index, ends = C.index_words(texts)
-    ids, start = flat(encode([w.decode() for w in words]))
+    lists = encode([w.decode() for w in words])
+    start = np.zeros(len(lists) + 1, np.int64)
+    np.cumsum([len(x) // 4 for x in lists], out=start[1:])
+    ids = np.frombuffer(b"".join(lists), np.uint32)
     ids, size = C.gather(ids, start, index)
     by_word = np.zeros(len(index) + 1, np.int64)
     np.cumsum(size, out=by_word[1:])
