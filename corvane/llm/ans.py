@@ -165,17 +165,24 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 
 def count_ids(batches):
+    """(id, n) of a partition, counted about CHUNK ids at a time."""
+    counts, held, size = np.zeros(0, np.int64), [], 0
+
+    def add():
+        own = np.bincount(np.concatenate(held), minlength=len(counts))
+        own[: len(counts)] += counts
+        return own
+
     for batch in batches:
-        counts = np.zeros(0, np.int64)
         for raw in batch.column("ids").to_pylist():
-            own = np.bincount(unpacked(raw))
-            if len(own) > len(counts):
-                own[: len(counts)] += counts
-                counts = own
-            else:
-                counts[: len(own)] += own
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["id", "n"])
+            held.append(unpacked(raw))
+            size += len(held[-1])
+            if size >= CHUNK:
+                counts, held, size = add(), [], 0
+    if held:
+        counts = add()
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["id", "n"])
 
 
 CHUNK_SCHEMA = "part int, chunk int, start long, n_ids long, doc_ids array<long>, lengths array<long>, blocks array<binary>"

@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,13 @@ from corvane.llm import _common as C
 #: Pieces a worker remembers before it starts anew; this bounds memory, not results.
 PIECES_KEPT = 200_000
 NONE = 1 << 62
+#: A word of these letters is one piece, and stays one when normalised.
+ONE_PIECE = regex.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Marks that make pieces of their own around a core; not the apostrophe, nor those that special tokens start or end with.
+AROUND = '!"#$%&()*+,-./:;=?@[\\]^_`{|}~'
+CORE = "^[0-9A-Za-zÀ-ÖØ-öø-ÿ]([^\n]*[0-9A-Za-zÀ-ÖØ-öø-ÿ])?$"
+#: How a file splits text for the above to hold.
+SPLITS = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def default_path() -> str:
@@ -69,6 +77,9 @@ class WordBPE:
         self.last = {c: vocab[c + end] for c in chars}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
         self.ascii = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.splits = bool(end) and self.ascii.pattern.endswith(SPLITS)
+        self.ends_word = np.zeros(max(self.tokens) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if end and t.endswith(end)]] = True
         self.known: dict[str, list[int]] = {}
         self.by_library: dict[str, bytes] = {}
 
@@ -159,34 +170,94 @@ class WordBPE:
 
     def encode_texts(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text starts."""
-        return gather_words(texts, lambda words: [array("I", self.encode(w)).tobytes() for w in words])
+        return gather_words(texts, lambda words: flat_lists([array("I", self.encode(w)).tobytes() for w in words]))
 
     def library_texts(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """As encode_texts, by the tokenizers library."""
-        return gather_words(texts, self.library_ids)
+        return gather_words(texts, self.library_parts)
 
     def new_ids(self, words: list[str], step: int = 4096) -> list[bytes]:
-        """Ids of each word by the library, as 32-bit integers; a few thousand words at a time, as its encodings are large."""
-        return [array("I", e.ids).tobytes() for i in range(0, len(words), step) for e in self.library.encode_batch_fast(words[i : i + step], add_special_tokens=False)]
+        """Ids of each word by the library, as 32-bit integers; a few thousand words at a time, as its encodings are large.
+
+        Words of plain letters are one piece each, so they go to the library side
+        by side and their ids are told apart by the end-of-word suffix.
+        """
+        out: list[bytes] = [b""] * len(words)
+        whole = [bool(self.splits and ONE_PIECE.fullmatch(w)) for w in words]
+        rest = [i for i, x in enumerate(whole) if not x]
+        for a in range(0, len(rest), step):
+            part = rest[a : a + step]
+            for i, e in zip(part, self.library.encode_batch_fast([words[i] for i in part], add_special_tokens=False)):
+                out[i] = array("I", e.ids).tobytes()
+        letters = [i for i, x in enumerate(whole) if x]
+        for a in range(0, len(letters), step):
+            part = letters[a : a + step]
+            ids = np.array(self.library.encode_batch_fast([" ".join([words[i] for i in part])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            if len(ends) != len(part):
+                raise ValueError("the vocabulary does not end each word with its suffix")
+            raw, at = ids.tobytes(), 0
+            for i, end in zip(part, ends):
+                out[i] = raw[4 * at : 4 * end]
+                at = end
+        return out
 
     def library_ids(self, words: list[str]) -> list[bytes]:
+        """As new_ids; words that the worker has met before are remembered, up to PIECES_KEPT of them."""
         known = self.by_library
         new = [w for w in words if w not in known]
         own = dict(zip(new, self.new_ids(new)))
         out = [own[w] if w in own else known[w] for w in words]
-        if len(known) + len(own) > PIECES_KEPT:
-            known.clear()
-        if len(own) <= PIECES_KEPT:
-            known.update(own)
+        for w in new[: max(0, PIECES_KEPT - len(known))]:
+            known[w] = own[w]
         return out
 
+    def library_parts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after the other, and where each starts, by the library.
+
+        ASCII punctuation around a core that starts and ends with a letter or
+        digit is a piece of its own, so cores and punctuation are encoded apart.
+        """
+        if not self.splits or not words:
+            return flat_lists(self.library_ids(words))
+        whole = pa.array(words, pa.string())
+        left = pc.ascii_ltrim(whole, AROUND)
+        core = pc.ascii_rtrim(left, AROUND)
+        apart = pc.match_substring_regex(core, CORE)
+        core = pc.if_else(apart, core, whole)
+        plain = pc.and_(pc.string_is_ascii(core), pc.invert(pc.match_substring(core, "<")))
+        core = pc.if_else(plain, pc.ascii_lower(core), core)  # as the file's normaliser does
+        n, n_left, n_core = (np.asarray(pc.binary_length(x), np.int64) for x in (whole, left, core))
+        cut = np.asarray(apart)
+        before, after = np.where(cut, n - n_left, 0), np.where(cut, n_left - n_core, 0)
+        coded = core.dictionary_encode()
+        units = coded.dictionary.to_pylist()
+        marks = {"": 0}
+        part = np.zeros((len(words), 3), np.int64)
+        part[:, 1] = np.asarray(coded.indices)
+        for column, size in ((0, before), (2, after)):
+            at = np.flatnonzero(size)
+            cuts = zip(at.tolist(), size[at].tolist())
+            found = [words[i][:k] for i, k in cuts] if column == 0 else [words[i][-k:] for i, k in cuts]
+            part[at, column] = [marks.setdefault(x, len(marks)) for x in found]
+        part[:, ::2] += len(units)
+        ids, start = flat_lists(self.library_ids([*units, *marks]))
+        ids, size = C.gather(ids, start, part.ravel())
+        ends = np.zeros(len(words) + 1, np.int64)
+        np.cumsum(size.reshape(-1, 3).sum(1), out=ends[1:])
+        return ids, ends
+
+
+def flat_lists(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    start = np.zeros(len(lists) + 1, np.int64)
+    np.cumsum([len(x) // 4 for x in lists], out=start[1:])
+    return np.frombuffer(b"".join(lists), np.uint32), start
+
 
 def gather_words(texts, encode) -> tuple[np.ndarray, np.ndarray]:
+    """encode gives the ids of distinct words, one after the other, and where each starts."""
     words, index, ends = C.index_words(texts)
-    lists = encode([w.decode() for w in words])
-    start = np.zeros(len(lists) + 1, np.int64)
-    np.cumsum([len(x) // 4 for x in lists], out=start[1:])
-    ids = np.frombuffer(b"".join(lists), np.uint32)
+    ids, start = encode([w.decode() for w in words])
     ids, size = C.gather(ids, start, index)
     by_word = np.zeros(len(index) + 1, np.int64)
     np.cumsum(size, out=by_word[1:])

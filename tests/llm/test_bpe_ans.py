@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from corvane.llm import ans, bpe
 
@@ -89,3 +90,12 @@ def test_files_of_an_empty_table_and_repeated_ids(docs_of):
     assert ans.query_of(docs_of([])).count() == 0
     out = ans.query_of(docs_of([(5, "a b"), (5, "a b"), (None, "c")])).orderBy("start").collect()
     assert [(r.doc_id, r.start, r.n_tokens) for r in out] == [(None, 0, 2), (5, 2, 3), (5, 5, 3)]
+
+
+def test_library_parts_as_whole_texts():
+    model = bpe.load(bpe.default_path())
+    texts = ["", "<|endoftext|>.", "-<|STARTOFTEXT|>x", "=\u0338a \u2260a", "(don't) 's .'s x's,", "\u0130stanbul. \u0130", "(\u20ac5.)", "x\u0301. \u00c9\u0301,", "12,3.", "--a--", "\u00df. \u00ff \u0178 \u017f", "a<|endoftext|>b", "\u212a Kelvin", "<a> |>a<|", "\x00a. a\u200b.", "\u4e2d\u3002a. a..."]
+    whole = [e.ids for e in model.library.encode_batch_fast(texts, add_special_tokens=False)]
+    for _ in range(2):  # the second time from what is remembered
+        ids, ends = model.library_texts(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == whole
