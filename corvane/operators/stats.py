@@ -149,8 +149,57 @@ def ward(x: np.ndarray) -> list[tuple[int, int, float, int]]:
     return out
 
 
-def logistic(df: DataFrame, y: str, numeric: list[str], rounds: int = 60, tolerance: float = 1e-9) -> dict[str, float]:
-    """Newton's method; each round sums the normal equations over all rows, and a small system is solved here."""
+def permutation_test(groups: DataFrame, value: str, first: str, second: str, reps: int = 10000, seed: int = 20260724) -> tuple[float, float]:
+    """Difference of the means of two groups, and its two-sided p by shuffling; groups (value, first, second) counts rows of each value.
+
+    A shuffle deals values to the groups without replacement, so it is drawn from
+    the counts; memory follows the distinct values, not the rows.
+    """
+    rows = groups.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum(first), F.sum(second)).orderBy(value).toPandas().to_numpy(float)
+    x, a, b = rows.T
+    if not a.sum() or not b.sum():
+        return math.nan, math.nan
+    both, n_a, n_b = (a + b).astype(np.int64), int(a.sum()), int(b.sum())
+    seen = float(x @ a / n_a - x @ b / n_b)
+    rng, hits, step = np.random.default_rng(seed), 0, max(1, (1 << 22) // len(x))
+    for i in range(0, reps, step):
+        drawn = rng.multivariate_hypergeometric(both, n_a, min(step, reps - i), method="marginals") @ x
+        hits += int((np.abs(drawn / n_a - (x @ both - drawn) / n_b) >= abs(seen) - 1e-12).sum())
+    return seen, (hits + 1) / (reps + 1)
+
+
+def monte_carlo(table: np.ndarray, draws: int = 20000, tries: int = 20, least: int = 200, seed: int = 20260724) -> tuple[float, float, int]:
+    """Chi-square of a small table (2x2: corrected for continuity), its p by tables drawn from its margins, and the draws used.
+
+    Draws with an empty row or column do not count; if too few are left, a 2x2
+    table has Fisher's p and a larger one has none.
+    """
+    table = np.asarray(table, float)
+    total, e = table.sum(), np.outer(table.sum(1), table.sum(0)) / max(1.0, table.sum())
+    if min(table.shape) < 2 or not e.all():
+        return math.nan, math.nan, 0
+    gap = np.abs(table - e)
+    if table.shape == (2, 2):
+        gap = gap - np.minimum(0.5, gap)
+    seen, rng, hits, used = float((gap**2 / e).sum()), np.random.default_rng(seed), 0, 0
+    for _ in range(tries):
+        drawn = rng.multinomial(int(total), (e / total).ravel(), draws).reshape(draws, *table.shape).astype(float)
+        expected = drawn.sum(2)[:, :, None] * drawn.sum(1)[:, None, :] / total
+        good = np.flatnonzero(expected.all((1, 2)))[: draws - used]
+        chi = ((drawn[good] - expected[good]) ** 2 / expected[good]).sum((1, 2))
+        hits, used = hits + int((chi >= seen - 1e-12).sum()), used + len(good)
+        if used >= draws:
+            break
+    if used >= least:
+        return seen, (hits + 1) / (used + 1), used
+    return seen, fisher_exact(*table.astype(int).ravel().tolist()) if table.shape == (2, 2) else math.nan, used
+
+
+def logistic(df: DataFrame, y: str, numeric: list[str], rounds: int = 60, tolerance: float = 1e-9, firth: bool = False) -> dict[str, float]:
+    """Newton's method; each round sums the normal equations over all rows, and a small system is solved here.
+
+    firth adds Firth's penalty, which keeps coefficients finite where the outcome is separated.
+    """
     names = ["intercept", *numeric]
     beta = np.zeros(len(names))
     x = [F.lit(1.0), *[F.col(c).cast("double") for c in numeric]]
@@ -159,11 +208,19 @@ def logistic(df: DataFrame, y: str, numeric: list[str], rounds: int = 60, tolera
         p = 1 / (1 + F.exp(-eta))
         w = p * (1 - p)
         pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
-        got = df.agg(*[F.sum(w * x[i] * x[j]) for i, j in pairs], *[F.sum((F.col(y).cast("double") - p) * c) for c in x]).first()
+        rest = F.col(y).cast("double") - p
+        got = df.agg(*[F.sum(w * x[i] * x[j]) for i, j in pairs], *[F.sum(rest * c) for c in x]).first()
         h = np.zeros((len(x), len(x)))
         for (i, j), v in zip(pairs, got):
             h[i, j] = h[j, i] = v
-        step = np.linalg.solve(h, np.array(got[len(pairs) :], float))
+        score = np.array(got[len(pairs) :], float)
+        if firth:  # each row's leverage needs the information of all rows first
+            inverse = np.linalg.inv(h)
+            leverage = w * sum((F.lit(float(inverse[i, j])) * x[i] * x[j] for i in range(len(x)) for j in range(len(x))), F.lit(0.0))
+            score = score + np.array(df.agg(*[F.sum(leverage * (0.5 - p) * c) for c in x]).first(), float)
+        step = np.linalg.solve(h, score)
+        if firth:
+            step = step / max(1.0, float(np.abs(step).max()) / 5)
         beta = beta + step
         if np.abs(step).max() < tolerance:
             break

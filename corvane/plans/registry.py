@@ -308,12 +308,30 @@ def m_richness(spark, sf_dir):
     return S.richness(toks(spark, sf_dir).groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("n")), ["doc_id"])
 
 
-@register("m_bayes", "WITH c AS (SELECT event_type, count(*) FILTER (user_id % 2 = 0) AS k, count(*) AS n FROM events WHERE event_id % 50 = 0 GROUP BY event_type) SELECT event_type, k, n, round(round(exp(-ln(n + 1) - (lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)) + n * ln(2)), 4), 6) AS bayes FROM c")
+@register("m_bayes", "WITH c AS (SELECT event_type, count(*) FILTER (user_id % 2 = 0) AS k, count(*) AS n FROM events GROUP BY event_type), l AS (SELECT *, -ln(n + 1) - (lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)) + n * ln(2) AS b FROM c) SELECT event_type, k, n, CASE WHEN b > 700 THEN CAST('inf' AS DOUBLE) ELSE round(round(exp(greatest(b, -700)), 4), 6) END AS bayes FROM l")
 def m_bayes(spark, sf_dir):
-    c = table(spark, sf_dir, "events").where("event_id % 50 = 0").groupBy("event_type").agg(F.sum((F.col("user_id") % 2 == 0).cast("long")).alias("k"), F.count(F.lit(1)).alias("n"))
+    c = table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum((F.col("user_id") % 2 == 0).cast("long")).alias("k"), F.count(F.lit(1)).alias("n"))
     return S.kernel(c, "bayes", S.bayes_factor, "k", "n")
 
 
+@register("m_permutation")
+def m_permutation(spark, sf_dir):
+    """Difference in mean length, in hundreds of characters, between toxic and other documents."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    on = lambda t: F.sum((F.col("toxic") == t).cast("long"))
+    counts = docs.groupBy(F.floor(F.col("n_chars") / 100).alias("value")).agg(on(1).alias("toxic"), on(0).alias("other"))
+    difference, p = S.permutation_test(counts, "value", "toxic", "other")
+    return spark.createDataFrame([(difference, p)], "difference double, p double")
+
+
+@register("m_monte_carlo")
+def m_monte_carlo(spark, sf_dir):
+    """Quality against toxicity, from their contingency table."""
+    n = {(r.toxic, r.quality): r["count"] for r in table(spark, sf_dir, "labels").where("toxic in (0, 1) and quality in (0, 1)").groupBy("toxic", "quality").count().collect()}
+    chi2, p, draws = S.monte_carlo([[n.get((i, j), 0) for j in (0, 1)] for i in (0, 1)])
+    return spark.createDataFrame([(chi2, p, draws)], "chi2 double, p double, draws long")
+
+
 @register("m_tests")
 def m_tests(spark, sf_dir):
     """Exact binomial tests by source, adjusted within each language."""

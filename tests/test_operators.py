@@ -77,3 +77,37 @@ def test_benjamini_hochberg(spark):
     p = spark.createDataFrame([("a", "x", 0.01), ("a", "y", 0.04), ("a", "z", 0.03), ("b", "w", 0.2)], "f string, name string, p double")
     got = {r.name: r.p_adj for r in S.adjusted(p, ["f"]).collect()}
     assert got == {"x": 0.03, "y": 0.04, "z": 0.04, "w": 0.2}
+
+
+def test_permutation_test(spark):
+    rnd = np.random.default_rng(1)
+    a, b = rnd.integers(0, 9, 12), rnd.integers(2, 11, 15)
+    rows = [(int(v), 1, 0) for v in a] + [(int(v), 0, 1) for v in b] + [(None, 1, 0)]
+    difference, p = S.permutation_test(spark.createDataFrame(rows, "v int, a int, b int"), "v", "a", "b")
+    both = np.concatenate([a, b])
+    shuffled = [rnd.permutation(both) for _ in range(10000)]
+    brute = np.mean([abs(s[:12].mean() - s[12:].mean()) >= abs(difference) - 1e-12 for s in shuffled])
+    assert difference == pytest.approx(a.mean() - b.mean()) and p == pytest.approx(brute, abs=0.02)
+    assert math.isnan(S.permutation_test(spark.createDataFrame(rows[:12], "v int, a int, b int"), "v", "a", "b")[1])
+
+
+def test_monte_carlo():
+    chi2, p, draws = S.monte_carlo(np.array([[5, 0], [1, 3]]))
+    assert chi2 == pytest.approx(2.7563, abs=1e-3) and 0 < p < 0.2 and draws == 20000
+    assert S.monte_carlo(np.array([[40, 2, 3], [2, 50, 4], [1, 3, 60]]))[1] == pytest.approx(1 / 20001)
+    assert math.isnan(S.monte_carlo(np.array([[3, 4], [0, 0]]))[1])
+
+
+def test_firth_is_finite_where_the_outcome_is_separated(spark):
+    df = spark.createDataFrame([(float(v), v > 0) for v in (-3, -2, -1, 1, 2, 3)], "x double, y boolean").cache()
+    got = S.logistic(df, "y", ["x"], firth=True)
+    x, y = np.array([-3.0, -2, -1, 1, 2, 3]), np.array([0, 0, 0, 1, 1, 1])
+
+    def penalised(b):
+        p = 1 / (1 + np.exp(-b * x))
+        w = p * (1 - p)
+        return np.sum(np.log(np.where(y == 1, p, 1 - p))) + 0.5 * np.log(w.sum() * (w * x * x).sum() - (w * x).sum() ** 2)
+
+    grid = np.linspace(0.01, 5, 4991)
+    assert got["x"] == pytest.approx(grid[np.argmax([penalised(b) for b in grid])], abs=2e-3)
+    assert got["intercept"] == pytest.approx(0, abs=1e-6)
