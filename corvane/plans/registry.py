@@ -40,6 +40,11 @@ def toks(spark, sf_dir):
     return X.token_rows(X.with_a_node(ctx(spark, sf_dir), P.NODES))
 
 
+def all_toks(spark, sf_dir):
+    """Tokens of all contexts, for what is about no node."""
+    return X.token_rows(ctx(spark, sf_dir))
+
+
 def near_terms(spark, sf_dir):
     t = toks(spark, sf_dir)
     return N.nearest(N.term_rows(t, P.FIELD, P.NODES), N.node_rows(t, P.NODES))
@@ -67,6 +72,7 @@ parts AS (SELECT doc_id, line, regexp_extract_all(context, '{TOKEN}') AS t, rege
 raw AS (SELECT doc_id, line, i - 1 AS idx, lower(t[i]) AS tok, g[i] AS gap FROM parts, unnest(range(1, len(t) + 1)) AS u(i)),
 lagged AS (SELECT *, lag(tok) OVER (PARTITION BY doc_id, line ORDER BY idx) AS prior FROM raw),
 tok AS (SELECT doc_id, line, CAST(idx AS INTEGER) AS idx, tok, CAST(sum(CASE WHEN idx > 0 AND regexp_matches(gap, '[.!?;]+["''’”»)\]]*\s') AND coalesce(prior, '') NOT IN {quoted(T.ABBREVIATIONS)} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line ORDER BY idx) AS INTEGER) AS sent FROM lagged)"""
+ALL_TOKENS = TOKENS.replace(f""" WHERE regexp_matches(lower(context), '{"|".join(P.NODES)}')""", "")
 CASES = " ".join(f"WHEN {' OR '.join(f'''regexp_matches(tok, '{T.extract_pattern(p)}')''' for p in ps)} THEN '{k}'" for k, ps in P.FIELD.items())
 NEAR = rf"""{TOKENS},
 node AS (SELECT doc_id, line, sent, idx AS node_idx, tok AS node FROM tok WHERE tok IN {quoted(P.NODES)}),
@@ -111,6 +117,16 @@ def t_sentences(spark, sf_dir):
     return toks(spark, sf_dir).groupBy("doc_id", F.col("line").cast("long").alias("line")).agg((F.max("sent") + 1).alias("sentences"), F.count(F.lit(1)).alias("tokens"))
 
 
+@register("t_tokens_all", f"WITH {ALL_TOKENS} SELECT doc_id, line, idx, tok, sent FROM tok")
+def t_tokens_all(spark, sf_dir):
+    return all_toks(spark, sf_dir).withColumn("line", F.col("line").cast("long"))
+
+
+@register("t_sentences_all", f"WITH {ALL_TOKENS} SELECT doc_id, line, max(sent) + 1 AS sentences, count(*) AS tokens FROM tok GROUP BY doc_id, line")
+def t_sentences_all(spark, sf_dir):
+    return all_toks(spark, sf_dir).groupBy("doc_id", F.col("line").cast("long").alias("line")).agg((F.max("sent") + 1).alias("sentences"), F.count(F.lit(1)).alias("tokens"))
+
+
 @register("t_doc_key", "SELECT doc_id, substr(sha256(lower(CAST(doc_id AS VARCHAR) || '.TXT')), 1, 16) AS doc_key, doc_id || '.TXT' AS base, 'file:///' || source || '/' || doc_id || '.TXT' AS link FROM documents")
 def t_doc_key(spark, sf_dir):
     path = F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".TXT")))
@@ -223,6 +239,13 @@ def d_citations(spark, sf_dir):
     return D.citation_pairs(toks(spark, sf_dir))
 
 
+@register("d_citations_all", f"""WITH {ALL_TOKENS}, g AS (SELECT DISTINCT doc_id, line, array_to_string(list(tok) OVER w, ' ') AS gram, count(*) OVER w AS k FROM tok WINDOW w AS (PARTITION BY doc_id, line ORDER BY idx ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+s AS (SELECT gram, min(doc_id) AS a_doc FROM g WHERE k = 8 GROUP BY gram HAVING count(*) BETWEEN 2 AND 30)
+SELECT DISTINCT a_doc, doc_id AS b_doc FROM g JOIN s USING (gram) WHERE k = 8 AND doc_id <> a_doc""")
+def d_citations_all(spark, sf_dir):
+    return D.citation_pairs(all_toks(spark, sf_dir))
+
+
 @register("g_cooccurrence", f"WITH {HITS} SELECT a.term AS term_a, b.term AS term_b, count(*) AS n FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.line = b.line AND a.term < b.term GROUP BY ALL ORDER BY n DESC, term_a, term_b LIMIT 200")
 def g_cooccurrence(spark, sf_dir):
     sets = hits(spark, sf_dir).groupBy("doc_id", "line").agg(F.array_sort(F.collect_set("term")).alias("t"))
@@ -308,6 +331,11 @@ def m_richness(spark, sf_dir):
     return S.richness(toks(spark, sf_dir).groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("n")), ["doc_id"])
 
 
+@register("m_richness_all", f"WITH {ALL_TOKENS}, c AS (SELECT doc_id, tok, count(*) AS n FROM tok GROUP BY ALL), v AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS types, count(*) FILTER (n = 1) AS hapax FROM c GROUP BY doc_id) SELECT *, round(types / tokens, 4) AS ttr, round(CASE WHEN tokens > 1 THEN ln(types) / ln(tokens) END, 4) AS herdan, round(types / sqrt(tokens), 4) AS guiraud FROM v")
+def m_richness_all(spark, sf_dir):
+    return S.richness(all_toks(spark, sf_dir).groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("n")), ["doc_id"])
+
+
 @register("m_bayes", "WITH c AS (SELECT event_type, count(*) FILTER (user_id % 2 = 0) AS k, count(*) AS n FROM events GROUP BY event_type), l AS (SELECT *, -ln(n + 1) - (lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)) + n * ln(2) AS b FROM c) SELECT event_type, k, n, CASE WHEN b > 700 THEN CAST('inf' AS DOUBLE) ELSE round(round(exp(greatest(b, -700)), 4), 6) END AS bayes FROM l")
 def m_bayes(spark, sf_dir):
     c = table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum((F.col("user_id") % 2 == 0).cast("long")).alias("k"), F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,7 @@ import math
 
 import duckdb
 import pytest
+from corvane.plans import profile as P
 from corvane.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +30,18 @@ def test_equals_sql(spark, duck, name):
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
     assert got == sorted((tuple(norm(r[names.index(c)]) for c in columns) for r in cursor.fetchall()), key=repr)
+
+
+@pytest.mark.parametrize("name", ["t_tokens_all", "t_sentences_all", "m_richness_all"])
+def test_lines_without_a_node_count(spark, duck, name):
+    docs = duck.execute(f"WITH {registry.LINES} SELECT count(DISTINCT doc_id) FROM ctx WHERE regexp_matches(context, '[A-Za-z]')").fetchone()[0]
+    part = registry.QUERIES[name.removesuffix("_all")](spark, SF).select("doc_id").distinct().count()
+    assert registry.QUERIES[name](spark, SF).select("doc_id").distinct().count() >= docs > part
+
+
+def test_lines_without_a_node_link_documents(spark, tmp_path):
+    line = "one two three four five six seven eight nine"
+    assert "|".join(P.NODES) not in line and not any(n in line for n in P.NODES)
+    spark.createDataFrame([(1, line, "s", "en"), (2, line, "s", "en")], "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert registry.d_citations(spark, str(tmp_path)).count() == 0
+    assert [tuple(r) for r in registry.d_citations_all(spark, str(tmp_path)).collect()] == [(1, 2)]
