@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from corvane.llm import _common as C
 
-LABELLED = 6000
-POOL = 3000
+LABELLED = 8000
+POOL = 4000
 ROUNDS = 3
 SHARE = 0.05  # of the pool that each class gains from a view in a round
 WORD_BUCKETS = 1 << 18

@@ -71,3 +71,7 @@ def test_quality_without_labels_nulls_and_no_rows(spark):
 def test_views_are_bounded_by_their_buckets():
     view = quality.text_view(pa.array(["a b a", None, "B!"]))
     assert len(view) == 3 and view.ends[1] == view.ends[2] and view.column.max() < quality.WORD_BUCKETS
+
+
+def test_samples_of_the_first_classifier():
+    assert quality.LABELLED >= 8000 and quality.POOL >= 4000
