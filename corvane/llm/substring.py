@@ -1,10 +1,11 @@
-"""Substring deduplication over a compacted de Bruijn graph of words.
+"""Substring deduplication by runs of word windows, in place of de Bruijn compaction.
 
 The edges of the graph are the windows of ``window`` words, its nodes their
 overlaps.  Windows that follow one another and share a minimizer (the least hash
 of their ``anchor_words``-grams) can only be walked together within one text, so
 each such run is kept as one nonbranching path: its minimizer, the hash of its
-words, and its source coordinate (doc_id, start, number of windows).
+words, and its source coordinate (doc_id, start, number of windows).  Paths are not
+joined across their ends: there are no tables of nodes or edges, and no degrees.
 
 1. Paths whose minimizer occurs once in the corpus hold no repeated window; a join
    with the repeated minimizers drops them.
