@@ -1,12 +1,15 @@
 """From raw documents to token ids, in five stages.
 
 Each stage takes what its predecessor kept, written as Parquet and read again.
-Nulls, empty texts and repeated rows are handled as the operators state; of rows
-that share a doc_id one stays after near-dedup.
+Nulls, empty texts and repeated rows are handled as the operators state.  Rows that
+share a doc_id are documents of their own: near-dedup drops those with equal texts
+or near copies, and unlike ones stay.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,20 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(dropped.select(F.col("doc_id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
+def by_row(stage):
+    """stage on rows with ids of their own, in the order of doc_id and text, where a doc_id is repeated."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            return stage(spark, docs, sf_dir)
+        row = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+        keyed = C.settle(docs.orderBy("doc_id", F.xxhash64("text")).withColumn("_own", F.col("doc_id")).withColumn("doc_id", row), "rows")
+        return stage(spark, keyed, sf_dir).withColumn("doc_id", F.col("_own")).select(*docs.columns)
+
+    return run
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts."""
     known = quality.columns_of(docs)
@@ -32,17 +49,18 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, model).where(F.col("score") >= ACCEPT).select(*docs.columns)
 
 
+@by_row
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    ids = docs.where("doc_id is not null")
-    repeated = ids.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id")
-    if not repeated.isEmpty():
-        again = docs.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-        docs = C.settle(docs.join(repeated, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(again), "documents")
+    """The document with the smallest id of each group of near copies; of one doc_id's equal texts, one."""
+    if "_own" in docs.columns:  # by_row: also texts that have no words
+        first = docs.where("doc_id is not null").groupBy("_own", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.col("text").isNull()).agg(F.min("doc_id").alias("row"))
+        kept = docs.join(first.select("row"), F.col("doc_id") == F.col("row"), "left_semi")
+        docs = C.settle(docs.where("doc_id is null").unionByName(kept), "documents")
     classes = neardup.dedup(docs, PERCENT)
     return without(docs, classes.where("not kept"))
 
 
+@by_row
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words that earlier texts have; a text that loses all of them goes."""
     runs = C.settle(substring.repeated(C.ids_and_texts(docs)), "runs")
@@ -52,6 +70,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return cut.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns])
 
 
+@by_row
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
     found = decontaminate.decontaminate(docs, C.table(spark, sf_dir, "benchmark"))

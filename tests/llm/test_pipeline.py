@@ -61,3 +61,19 @@ def test_run_and_odd_rows(spark, tmp_path):
     spark.createDataFrame([(1, "q")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id or -1) for r in out) == [-1, 1, 2, 3]
+
+
+def test_unlike_texts_of_one_id_stay(spark, tmp_path):
+    """Each loses only what is its own: copies go, and so do words that earlier texts have."""
+    text = lambda k, n=60: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(7, text("a")), (7, text("b")), (7, text("a")), (7, text("a", 59) + " z"), (7, ""), (7, ""), (8, text("c")), (9, text("q") + " " + text("r")), (9, text("c", 30) + " " + text("d")), (None, "x y"), (None, "x y")]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long").repartition(3)
+    spark.createDataFrame([(1, text("q", 20))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    near = C.settle(corpus_pipeline.near_dedup(spark, docs, str(tmp_path)), "near")
+    got = sorted((r.doc_id or -1, r.text) for r in near.collect())
+    like = lambda t: "a" if t.startswith("a") else t
+    assert sorted((i, like(t)) for i, t in got) == sorted([(-1, "x y"), (-1, "x y"), (7, ""), (7, "a"), (7, text("b")), (8, text("c")), (9, text("q") + " " + text("r")), (9, text("c", 30) + " " + text("d"))])
+    cut = C.settle(corpus_pipeline.substring_dedup(spark, near, str(tmp_path)), "cut")
+    assert {(r.doc_id, r.text) for r in cut.collect() if r.doc_id in (8, 9)} == {(8, text("c")), (9, text("q") + " " + text("r")), (9, text("d"))}
+    clean = corpus_pipeline.decontaminated(spark, cut, str(tmp_path)).collect()
+    assert {r.text for r in clean if r.doc_id == 9} == {text("d")} and len(clean) == 7
