@@ -57,13 +57,13 @@ def ids_and_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches into slices of about SLICE_BYTES of text, so memory follows the longest text, not the row count."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches into slices of about most bytes of text, so memory follows the longest text, not the row count."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
-        part = np.cumsum(sizes) // SLICE_BYTES
+        part = np.cumsum(sizes) // most
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
@@ -146,11 +146,11 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text") -> DataFrame:
+def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", most: int = SLICE_BYTES) -> DataFrame:
     """Apply step to slices of bounded text size."""
 
     def run(batches):
-        for batch in text_slices(batches, column):
+        for batch in text_slices(batches, column, most):
             out = step(batch)
             if out is not None and out.num_rows:
                 yield out
