@@ -8,12 +8,15 @@ it was not trained on, and the calibrated log-odds are added, less the prior
 counted twice: a view that tells nothing adds nothing.
 
 A document is good if its quality is 1 and it is not toxic.  Models are fitted on
-the driver on samples by a hash of doc_id, at most about LABELLED and POOL rows;
-all documents are scored.  Rows of one doc_id in labels: the least quality and the
-highest toxicity count.
+the driver on samples by a hash, at most about LABELLED and POOL rows; all
+documents are scored.  Rows of one doc_id in labels: the least quality and the
+highest toxicity count.  Of documents that share a doc_id the sample has one, and
+of equal rows the pool has one, so no id or text can flood the driver.
 
 Null texts are empty, null metadata a value of its own.  Without labelled rows of
-both kinds every document is accepted with the score 1.
+both kinds every document is accepted with the score 1.  Repeated rows get equal
+scores, each for itself; nothing is ranked, so ties need no rule.  A very long text
+is scored whole, in a slice of its own.  Further columns stay as they are.
 """
 
 from __future__ import annotations
@@ -38,6 +41,9 @@ PREFIX = 5  # bytes
 STEPS = 100
 L2 = 0.3
 STRIP = b".,;:!?\"'()[]|*-"
+SLICE = 2 << 20  # bytes of text that are scored at a time
+VIEWED = ("text", "source", "lang", "n_chars")
+SCORES = ("p_text", "p_meta", "score")
 
 
 class Sparse:
@@ -66,17 +72,20 @@ def text_view(text: pa.Array) -> Sparse:
     words, index, ends = C.index_words(text, lower=True)
     n = len(text)
     bare = [w.strip(STRIP) for w in words]
-    bucket, prefix = ((C.hash_words(x, seed) % np.uint64(WORD_BUCKETS)).astype(np.int64) for x, seed in ((bare, 11), ([w[:PREFIX] for w in bare], 13)))
-    doc = np.repeat(np.arange(n), np.diff(ends)) * WORD_BUCKETS
-    pairs = np.unique(np.concatenate([doc + bucket[index], doc + prefix[index]]))
-    own = np.concatenate([[0], np.cumsum(np.bincount(pairs // WORD_BUCKETS, minlength=n))])
+    bucket, prefix = ((C.hash_words(x, seed) % np.uint64(WORD_BUCKETS)).astype(np.int32) for x, seed in ((bare, 11), ([w[:PREFIX] for w in bare], 13)))
+    column, own = [np.zeros(0, np.int32)], np.zeros(n + 1, np.int64)
     dense = np.zeros((n, 8))
-    for i, raw in enumerate(C.text_bytes(pa.record_batch([text], ["text"]))):
+    for i in range(n):
+        at = index[ends[i] : ends[i + 1]]
+        found = np.unique(np.concatenate([bucket[at], prefix[at]]))
+        column.append(found)
+        own[i + 1] = own[i] + len(found)
+        raw = text[i].as_buffer() if text[i].is_valid else b""
         by = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
         size = max(1, len(raw))
         letters = max(1, by[65:91].sum() + by[97:123].sum() + by[128:].sum())
-        dense[i] = by[65:91].sum() / letters, by[48:58].sum() / size, by[33] / size, by[124] / size, by[10] / size, (by[33:48].sum() + by[58:65].sum()) / size, np.log1p(len(raw)), (own[i + 1] - own[i]) / max(1, ends[i + 1] - ends[i])
-    return Sparse((pairs % WORD_BUCKETS).astype(np.int32), own, dense)
+        dense[i] = by[65:91].sum() / letters, by[48:58].sum() / size, by[33] / size, by[124] / size, by[10] / size, (by[33:48].sum() + by[58:65].sum()) / size, np.log1p(len(raw)), len(found) / max(1, len(at))
+    return Sparse(np.concatenate(column), own, dense)
 
 
 def meta_view(source: pa.Array, lang: pa.Array, n_chars: pa.Array) -> Sparse:
@@ -185,33 +194,38 @@ def views_of_all(t: pa.Table) -> list[Sparse]:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
-    known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(((F.min("quality") == 1) & (F.max("toxic") == 0)).cast("int").alias("y"))
+    known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("known_id")).agg(((F.min("quality") == 1) & (F.max("toxic") == 0)).cast("int").alias("y"))
     n_known, n_docs = known.count(), docs.count()
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    chosen = known.where(place < int((1 << 20) * min(1.0, LABELLED / max(1, n_known)))).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(chosen, F.col("doc_id") == F.col("_id")).drop("_id").toArrow().sort_by("doc_id")
+    of = [F.col(c) for c in VIEWED]
+    one = F.min_by(F.struct(*of), F.xxhash64(*of)).alias("row")
+    chosen = known.where(F.pmod(F.xxhash64("known_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, LABELLED / max(1, n_known))))
+    labelled = docs.join(chosen, F.col("doc_id") == F.col("known_id")).groupBy("doc_id").agg(one, F.first("y").alias("y"))
+    rows = labelled.select("doc_id", "row.*", "y").toArrow().sort_by("doc_id")
     if not rows.num_rows or len(set(rows.column("y").to_pylist())) < 2:
         return None
-    other = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("pool")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, POOL / max(1, n_docs))))
-    pool = other.join(known.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left_anti").toArrow().sort_by("doc_id")
+    drawn = docs.withColumn("place", F.xxhash64("doc_id", "text", F.lit("pool"))).where(F.pmod("place", F.lit(1 << 20)) < int((1 << 20) * min(1.0, POOL / max(1, n_docs))))
+    other = drawn.join(known, F.col("doc_id") == F.col("known_id"), "left_anti").groupBy("place").agg(one)
+    pool = other.select("place", "row.*").toArrow().sort_by("place")
     y, known_views = np.asarray(rows.column("y"), np.float64), views_of_all(rows)
     del rows
     return CoTrained(known_views, y, views_of_all(pool))
 
 
-def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
-    """docs with p_text, p_meta and score: probabilities that a document is good."""
-    for name in ("p_text", "p_meta", "score"):
-        docs = docs.drop(name)
+def score(docs: DataFrame, model: CoTrained | None, names: tuple[str, str, str] = SCORES) -> DataFrame:
+    """docs with the probabilities that a document is good, by its text, its metadata and both, under names.
+
+    Columns of docs that have one of the names are replaced.
+    """
+    docs = docs.drop(*names)
     if model is None:
-        return docs.withColumns({c: F.lit(1.0) for c in ("p_text", "p_meta", "score")})
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+        return docs.withColumns({c: F.lit(1.0) for c in names})
+    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def step(batch):
         scores = model.combine(views_of(batch))
-        return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(s, pa.float64()) for s in scores)], [*batch.schema.names, "p_text", "p_meta", "score"])
+        return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(s, pa.float64()) for s in scores)], [*batch.schema.names, *names])
 
-    return C.map_arrow(docs, step, f"{fields}, p_text double, p_meta double, score double")
+    return C.map_arrow(docs, step, fields + "".join(f", `{c}` double" for c in names), most=SLICE)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
