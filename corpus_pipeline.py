@@ -3,7 +3,8 @@
 Each stage takes what its predecessor kept, written as Parquet and read again.
 Nulls, empty texts and repeated rows are handled as the operators state.  Rows that
 share a doc_id are documents of their own: near-dedup drops those with equal texts
-or near copies, and unlike ones stay.
+or near copies, and unlike ones stay.  An empty table gives an empty table.  Further
+columns of documents, whatever their names, are carried to the last stage.
 """
 
 from __future__ import annotations
@@ -23,9 +24,22 @@ PERCENT = 80
 ORACLE_SQL = None
 
 
+#: The column that keeps doc_id while rows have ids of their own.
+OWN = "_corpus_pipeline_doc_id"
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """name, made unlike all columns of docs."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs but those whose doc_id is in dropped; rows with a null id stay."""
-    return docs.join(dropped.select(F.col("doc_id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = fresh(docs, "_gone")
+    return docs.join(dropped.select(F.col("doc_id").alias(gone)), F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def by_row(stage):
@@ -36,8 +50,8 @@ def by_row(stage):
         if docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
             return stage(spark, docs, sf_dir)
         row = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
-        keyed = C.settle(docs.orderBy("doc_id", F.xxhash64("text")).withColumn("_own", F.col("doc_id")).withColumn("doc_id", row), "rows")
-        return stage(spark, keyed, sf_dir).withColumn("doc_id", F.col("_own")).select(*docs.columns)
+        keyed = C.settle(docs.orderBy("doc_id", F.xxhash64("text")).withColumn(OWN, F.col("doc_id")).withColumn("doc_id", row), "rows")
+        return stage(spark, keyed, sf_dir).withColumn("doc_id", F.col(OWN)).select(*docs.columns)
 
     return run
 
@@ -46,15 +60,17 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the co-trained classifier accepts."""
     known = quality.columns_of(docs)
     model = quality.train(known, C.table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("score") >= ACCEPT).select(*docs.columns)
+    names = tuple(fresh(docs, c) for c in quality.SCORES)
+    return quality.score(docs, model, names).where(F.col(names[2]) >= ACCEPT).select(*docs.columns)
 
 
 @by_row
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; of one doc_id's equal texts, one."""
-    if "_own" in docs.columns:  # by_row: also texts that have no words
-        first = docs.where("doc_id is not null").groupBy("_own", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.col("text").isNull()).agg(F.min("doc_id").alias("row"))
-        kept = docs.join(first.select("row"), F.col("doc_id") == F.col("row"), "left_semi")
+    if OWN in docs.columns:  # by_row: also texts that have no words
+        first = docs.where("doc_id is not null").groupBy(OWN, F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.col("text").isNull()).agg(F.min("doc_id").alias("_first"))
+        at = fresh(docs, "_first")
+        kept = docs.join(first.select(F.col("_first").alias(at)), F.col("doc_id") == F.col(at), "left_semi")
         docs = C.settle(docs.where("doc_id is null").unionByName(kept), "documents")
     classes = neardup.dedup(docs, PERCENT)
     return without(docs, classes.where("not kept"))
