@@ -5,16 +5,23 @@ cut into levels, and the vectors of one level form a posting segment.  For a
 query, the segment of component j and level l has the impact q_j * level, less
 the least impact of that component, so impacts are never negative.  Segments are
 processed by descending impact (score at a time) into one accumulator for each
-vector.  What is still to come and what quantisation hides bound every score, so
-processing stops only when no more than ``few`` vectors can be members, or when
-all segments are done; every possible member is then scored exactly.
+vector.
 
-A block keeps at most k rows for a query, and the blocks' rows are merged by
-score.  Queries are packed in blocks as well: neither side has to fit in memory.
+What a vector can still gain is bounded by the components in which it has not been
+met: each gives at most the impact of its next segment, and quantisation hides at
+most a level's width.  Processing stops when so few vectors can reach the k-th best
+lower bound, or the k-th score that the query has from blocks before, that scoring
+them exactly costs no more than the segments that are left; every possible member
+is then scored exactly.
+
+Blocks stay where they are and queries, the smaller side, go to them in blocks of
+their own.  A task takes its blocks one after the other, indexes each once, and
+carries each query's k best scores on; what it emits is merged by score.
 
 Vectors that are null, or hold null, NaN or infinite components, take no part.
-Missing components of a shorter vector count as 0.  Rows that share a vec_id
-count as one, the one whose vector sorts first.  Null ids take no part.
+Missing components of a shorter vector count as 0.  Null ids take no part.  Rows that
+share a vec_id are rows of their own, as candidates and as queries; a query leaves
+out itself only.  Ties go to the smaller vec_id; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,24 +32,27 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm._common import table
+from corvane.llm._common import gather, table
 
 VECTORS_A_BLOCK = 4096
-QUERIES_A_BLOCK = 1024
-LEVELS = 16
+QUERIES_A_BLOCK = 256
+LEVELS = 256
+STEPS = 24  # times that a search looks whether it may stop
 
 
 def integers(df: DataFrame, scale: int) -> DataFrame:
-    """(vec_id, v) with v = floor(scale * x) for each component, one row for each id."""
+    """(row, vec_id, v) with v = floor(scale * x) for each component; row tells rows of one id apart."""
     x = F.col("embedding").cast("array<double>")
     bad = lambda y: y.isNull() | F.isnan(y) | (F.abs(y) == float("inf"))
     ok = df.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", bad))
     v = ok.select("vec_id", F.transform("x", lambda y: F.floor(y * scale).cast("long")).alias("v"))
-    return v.groupBy("vec_id").agg(F.min("v").alias("v"))
+    # Equal rows are counted, not gathered, and dealt out again.
+    copies = v.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return copies.select(F.xxhash64("vec_id", "v", "copy").alias("row"), "vec_id", "v")
 
 
 class ImpactIndex:
-    """The segments of one block of integer vectors."""
+    """The segments of one block of integer vectors, by component and level."""
 
     def __init__(self, vectors: np.ndarray, levels: int = LEVELS):
         self.vectors = vectors
@@ -52,105 +62,133 @@ class ImpactIndex:
         self.low = low
         level = (vectors - low) // self.width
         order = np.argsort(level, axis=0, kind="stable").astype(np.int32)
-        dim, lev, ids = [], [], []
+        dim, lev, start = [], [], []
         for j in range(dims):
-            sorted_levels = level[order[:, j], j]
-            found, start = np.unique(sorted_levels, return_index=True)
-            ids += np.split(order[:, j], start[1:])
-            dim += [j] * len(found)
-            lev += found.tolist()
-        self.dim, self.level, self.ids = np.array(dim, np.int64), np.array(lev, np.int64), ids
-        self.size = np.array([len(x) for x in ids], np.int64)
-
-    def search(self, q: np.ndarray, k: int, skip: int = -1, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and exact scores of the k best vectors but skip, ties to the smaller position."""
-        n = len(self.vectors)
+            found, first = np.unique(level[order[:, j], j], return_index=True)
+            dim.append(np.full(len(found), j))
+            lev.append(found)
+            start.append(first + j * n)
+        none = np.zeros(0, np.int64)
+        self.dim, self.level = (np.concatenate([none, *x]).astype(np.int64) for x in (dim, lev))
+        self.ids = order.T.ravel()
+        self.ends = np.concatenate([none, *start, [n * dims]]).astype(np.int64)
+        self.size = np.diff(self.ends)
+        self.scanned = 0  # postings processed by the last search
+
+    def search(self, q: np.ndarray, k: int, skip: int = -1, bar: float = -np.inf, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and exact scores of the k best vectors but skip, no worse than bar; ties to the smaller of own (positions, if none)."""
+        n, dims = self.vectors.shape
         none = np.zeros(0, np.int64)
+        self.scanned = 0
         if not n - (skip >= 0):
             return none, none
-        few = max(4 * k, n // 64)
         floor = q[self.dim] * (self.low[self.dim] + self.level * self.width[self.dim])
-        least = np.full(len(q), np.iinfo(np.int64).max)
+        least = np.full(dims, np.iinfo(np.int64).max)
         np.minimum.at(least, self.dim, floor)
         impact = floor - least[self.dim]
         order = np.argsort(-impact, kind="stable")
-        order = order[impact[order] > 0]
         hidden = q * (self.width - 1)
-        above, below = int(np.maximum(hidden, 0).sum()), int(np.minimum(hidden, 0).sum())
-        got = np.zeros(n)
-        possible = None
-        for at in range(0, len(order), step):
-            part = order[at : at + step]
-            got += np.bincount(np.concatenate([self.ids[s] for s in part]), np.repeat(impact[part], self.size[part]).astype(float), n)
-            rest = order[at + step :]
-            to_come = np.zeros(len(q), np.int64)
-            if len(rest):  # the first of a component in this order is its largest
-                dims, first = np.unique(self.dim[rest], return_index=True)
-                to_come[dims] = impact[rest[first]]
-            lower = got + below
+        above, below, base = int(np.maximum(hidden, 0).sum()), int(np.minimum(hidden, 0).sum()), int(least.sum())
+        cost = np.cumsum(self.size[order])
+        cuts = np.unique(np.searchsorted(cost, cost[-1] * np.arange(1, STEPS + 1) / STEPS) + 1)
+        got, met = np.zeros(n), np.zeros((dims, n), bool)
+        possible, at = np.arange(n), 0
+        for cut in cuts.tolist():
+            part = order[at:cut]
+            at = cut
+            ids, size = gather(self.ids, self.ends, part)
+            got += np.bincount(ids, np.repeat(impact[part], size).astype(float), n)
+            met[np.repeat(self.dim[part], size), ids] = True
+            self.scanned += len(ids)
+            lower = got + (base + below)
             if skip >= 0:
                 lower[skip] = -np.inf
             if n > k:
-                bar = np.partition(lower, n - k)[n - k]
-                possible = np.flatnonzero(got + above + to_come.sum() >= bar)
-                if len(possible) <= few:
-                    break
-        if possible is None:
-            possible = np.arange(n)
+                bar = max(bar, np.partition(lower, n - k)[n - k])
+            next_ = np.zeros(dims)  # the first of a component in this order is its largest
+            rest = order[at:]
+            found, first = np.unique(self.dim[rest], return_index=True)
+            next_[found] = impact[rest[first]]
+            upper = got + (base + above) + (next_.sum() - next_ @ met)
+            possible = np.flatnonzero(upper >= bar)
+            if len(possible) * dims <= cost[-1] - cost[at - 1]:
+                break
         possible = possible[possible != skip]
         exact = self.vectors[possible] @ q
-        best = np.lexsort((possible, -exact))[:k]
+        keep = exact >= bar if np.isfinite(bar) else np.ones(len(exact), bool)
+        possible, exact = possible[keep], exact[keep]
+        best = np.lexsort((possible if own is None else own[possible], -exact))[:k]
         return possible[best], exact[best]
 
 
 def pack(df: DataFrame, salt: str, rows: int, total: int) -> DataFrame:
-    """Rows of df in blocks of about ``rows``: (block, ids, vectors)."""
+    """Rows of df in blocks of about ``rows``: (block, members)."""
     blocks = max(1, -(-total // rows))
-    return df.groupBy(F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("members"))
+    return df.groupBy(F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "row", "v"))).alias("members"))
 
 
-def unpack(members: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+def unpack(members: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows = members.values
-    ids = np.asarray(rows.field("vec_id"), np.int64)
+    ids, own = (np.asarray(rows.field(c), np.int64) for c in ("vec_id", "row"))
     lists = rows.field("v")
     sizes = np.asarray(pc.list_value_length(lists), np.int64)
     out = np.zeros((len(ids), int(sizes.max(initial=0))), np.int64)
     flat = np.asarray(lists.flatten(), np.int64)
     out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = flat
-    return ids, out
-
-
-def search_blocks(batches):
-    for batch in batches:
-        for i in range(batch.num_rows):
-            ids, vectors = unpack(batch.column("members")[i])
-            q_ids, queries = unpack(batch.column("q_members")[i])
-            dims = max(vectors.shape[1], queries.shape[1])
-            vectors, queries = (np.pad(x, ((0, 0), (0, dims - x.shape[1]))) for x in (vectors, queries))
-            index = ImpactIndex(vectors)
-            own = {int(x): p for p, x in enumerate(ids)}
-            rows = []
-            for q_id, q in zip(q_ids.tolist(), queries):
-                at, score = index.search(q, int(batch.column("k")[i].as_py()), own.get(q_id, -1))
-                rows.append((np.full(len(at), q_id), ids[at], score))
-            if rows:
-                q_col, v_col, s_col = map(np.concatenate, zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(q_col, pa.int64()), pa.array(v_col, pa.int64()), pa.array(s_col, pa.int64())], ["query_id", "vec_id", "score"])
+    return ids, own, out
+
+
+def search_blocks(k: int):
+    """Rows of a task: of each block its vectors first, then the query blocks that it meets."""
+
+    def run(batches):
+        ids = own = vectors = index = block = None
+        place: dict[tuple[int, int], int] = {}
+        best: dict[int, np.ndarray] = {}  # of each query block, the k best scores of its queries so far
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q_block = batch.column("q_block")[i].as_py()
+                if q_block < 0:
+                    block = batch.column("block")[i].as_py()
+                    ids, own, vectors = unpack(batch.column("members")[i])
+                    index = None
+                    place = {(a, b): p for p, (a, b) in enumerate(zip(ids.tolist(), own.tolist()))}
+                    continue
+                if batch.column("block")[i].as_py() != block:  # no vector fell into that block
+                    continue
+                q_ids, q_own, queries = unpack(batch.column("members")[i])
+                dims = max(vectors.shape[1], queries.shape[1])
+                queries = np.pad(queries, ((0, 0), (0, dims - queries.shape[1])))
+                if index is None or index.vectors.shape[1] < dims:
+                    vectors = np.pad(vectors, ((0, 0), (0, dims - vectors.shape[1])))
+                    index = ImpactIndex(vectors)
+                top = best.setdefault(q_block, np.full((len(q_ids), k), -np.inf))
+                rows = []
+                for j, q in enumerate(queries):
+                    at, score = index.search(q, k, place.get((int(q_ids[j]), int(q_own[j])), -1), top[j, 0], ids)
+                    top[j] = np.sort(np.concatenate([top[j], score]))[-k:]
+                    rows.append((np.full(len(at), q_ids[j]), np.full(len(at), q_own[j]), ids[at], own[at], score))
+                if rows:
+                    columns = [pa.array(np.concatenate(x), pa.int64()) for x in zip(*rows)]
+                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "query_row", "vec_id", "row", "score"])
+
+    return run
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of vectors with the highest score for each row of queries."""
     base, asked = integers(vectors, scale), integers(queries, scale)
     total, n_asked = base.count(), asked.count()
-    blocks = pack(base, "v", VECTORS_A_BLOCK, total)
-    packed = pack(asked, "q", QUERIES_A_BLOCK, n_asked).select(F.col("block").alias("q_block"), F.col("members").alias("q_members"))
-    n_query_blocks = max(1, -(-n_asked // QUERIES_A_BLOCK))
-    # Each block of vectors meets each block of queries once, in a task of its own.
-    spread = blocks.select("block", "members", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query_blocks - 1).cast("long"))).alias("q_block"))
-    met = spread.join(packed, "q_block").withColumn("k", F.lit(k))
-    met = met.repartition(max(1, min(n_query_blocks * -(-total // VECTORS_A_BLOCK), 4000)), "block", "q_block")
-    found = met.select("members", "q_members", "k").mapInArrow(search_blocks, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    blocks = pack(base, "v", VECTORS_A_BLOCK, total).withColumn("q_block", F.lit(-1).cast("long"))
+    n_blocks = max(1, -(-total // VECTORS_A_BLOCK))
+    packed = pack(asked, "q", QUERIES_A_BLOCK, n_asked).withColumnRenamed("block", "q_block")
+    # Each block of vectors meets each block of queries once; what is copied is the queries.
+    spread = packed.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"), "members", "q_block")
+    met = blocks.unionByName(spread)
+    tasks = max(1, min(n_blocks, vectors.sparkSession.sparkContext.defaultParallelism * 4))
+    met = met.repartition(tasks, "block").sortWithinPartitions("block", "q_block")
+    found = met.select("block", "q_block", "members").mapInArrow(search_blocks(k), "query_id long, query_row long, vec_id long, row long, score long")
+    order = Window.partitionBy("query_id", "query_row").orderBy(F.col("score").desc(), F.col("vec_id"), F.col("row"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
