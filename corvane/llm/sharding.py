@@ -7,7 +7,8 @@ keys of the others.  Placement is one hash and one lookup, by a join with the
 broadcast table, whose size (``slots`` rows) is a parameter and so bounded.
 
 Nulls: a null key is placed as the empty string.  An empty table gives an empty
-one, and repeated keys are placed alike.
+one, and repeated keys are placed alike, so there are no ties to break.  A very long
+key is hashed whole.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def slot_of(key: F.Column, slots: int) -> F.Column:
 
 def assign(df: DataFrame, key: str, names: list[str], slots: int = SLOTS) -> DataFrame:
     """df with the columns slot and shard (these two replace columns of the same name)."""
-    owner = F.array(*[F.lit(x) for x in lookup_table(names, slots)]) if slots <= 512 else F.from_json(F.lit(str(lookup_table(names, slots))), "array<int>")
+    owner = F.from_json(F.lit(str(lookup_table(names, slots))), "array<int>")
     lookup = df.sparkSession.range(1).select(F.posexplode(owner).alias("_slot", "_shard"))
     lookup = lookup.select(F.col("_slot").cast("long").alias("_slot"), "_shard")
     placed = df.withColumn("slot", slot_of(F.col(key), slots))

@@ -3,22 +3,42 @@ from corvane.llm import sharding, topk
 
 
 def brute(vectors, queries, k=10):
+    """vectors: (id, components) of rows, or by id; a query leaves out its own row only."""
+    rows = list(vectors.items()) if isinstance(vectors, dict) else vectors
     out = []
-    for q in sorted(queries):
-        scored = sorted((-sum(int(a) * int(b) for a, b in zip(vectors[q], v)), i) for i, v in vectors.items() if i != q)
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
-    return out
+    for at, (q, own) in enumerate(rows):
+        if q in queries:
+            scored = sorted((-sum(int(a) * int(b) for a, b in zip(own, v)), i) for j, (i, v) in enumerate(rows) if j != at)
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
 
 
 def test_exact_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(0, 0.3, 12).astype(np.float32).tolist()) for i in range(700)]
     rows[40] = (40, rows[41][1])
-    rows += [(800, rows[0][1]), (900, None), (901, [1.0, None] + [0.0] * 10), (902, [float("nan")] * 12), (903, [float("inf")] * 12), (None, rows[1][1]), (5, rows[5][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = [tuple(r) for r in topk.search(df, df.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect()]
-    vectors = {i: np.floor(1024 * np.array(v, np.float64)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()}
-    assert got == brute(vectors, [i for i in vectors if i % 100 == 0])
+    rows += [(800, rows[0][1]), (900, None), (901, [1.0, None] + [0.0] * 10), (902, [float("nan")] * 12), (903, [float("inf")] * 12), (None, rows[1][1])]
+    rows += [(5, rows[5][1]), (100, rows[100][1]), (100, rows[100][1]), (200, rows[7][1])]  # rows that share an id
+    df = spark.createDataFrame([(i, v, i) for i, v in rows], "vec_id long, embedding array<float>, row long")
+    got = sorted(tuple(r) for r in topk.search(df, df.where("vec_id % 100 = 0")).collect())
+    vectors = [(i, np.floor(1024 * np.array(v, np.float64))) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    assert got == brute(vectors, range(0, 900, 100))
+
+
+def test_search_stops_on_proof_on_real_vectors(spark):
+    x = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").toPandas()
+    v = np.floor(1024 * np.stack(x.embedding.to_numpy()).astype(np.float64)).astype(np.int64)
+    index = topk.ImpactIndex(v)
+    shares, first = [], None
+    for q in range(0, 2000, 100):
+        at, score = index.search(v[q], 10, q)
+        want = sorted((-s, i) for i, s in enumerate((v @ v[q]).tolist()) if i != q)[:10]
+        assert [(-s, i) for i, s in zip(at.tolist(), score.tolist())] == want
+        shares.append(index.scanned / v.size)
+        again, _ = index.search(v[q], 10, q, float(score[-1]))
+        assert again.tolist() == at.tolist() and index.scanned / v.size <= shares[-1]
+        first = index.scanned / v.size if first is None else first
+    assert max(shares) < 1 and np.mean(shares) < 0.9
 
 
 def test_many_blocks_few_rows_and_none(spark, monkeypatch):
@@ -44,6 +64,25 @@ def test_lookup_table_is_fair_and_stable():
     assert moved < 0.25 * 4099
 
 
+def test_refill_by_the_rule_alone():
+    """Shards take turns; each claims the first free slot of its whole preference list."""
+    import hashlib
+
+    names, slots = [f"shard-{i:05d}" for i in range(7)], 211
+    lists = []
+    for n in names:
+        d = hashlib.md5(n.encode()).hexdigest()
+        offset, skip = int(d[:15], 16) % slots, int(d[15:30], 16) % (slots - 1) + 1
+        lists.append([(offset + j * skip) % slots for j in range(slots)])
+    owner = {}
+    while len(owner) < slots:
+        for shard, own in enumerate(lists):
+            slot = next((x for x in own if x not in owner), None)
+            if slot is not None:
+                owner[slot] = shard
+    assert sharding.lookup_table(names, slots) == [owner[i] for i in range(slots)]
+
+
 def test_assign_keeps_rows_and_other_columns(spark):
     df = spark.createDataFrame([(1, "a", 5), (1, "a", 6), (None, None, 7)], "doc_id long, shard string, slot int")
     out = sharding.assign(df, "doc_id", sharding.shard_names(4), 101).collect()
