@@ -6,24 +6,29 @@ steps the states and the place in the stream are kept, so a reader may start at
 any checkpoint and decodes all of them in parallel.  Each block has a CRC-32 of
 its ids, which a reader verifies.
 
-A file is a Parquet file whose rows are chunks: whole documents in ascending
-doc_id order, with their ids in blocks.  Spark's committer makes a file appear
-once, whatever happens to the executor that writes it.
+A folder holds ``chunks``, Parquet files whose rows are chunks: whole documents in
+ascending doc_id order, with their ids in blocks, and ``table``, one row with the
+format's version, the end id and the frequencies; reading needs the folder only.
+Spark's committer makes a file appear once, whatever happens to the executor that
+writes it.
 
 A null text is empty and so has the end id only.  Null doc_ids sort first.  Rows
-that share a doc_id are all kept; among them the order is by their ids.
+that share a doc_id are all kept; among them the order is by their ids.  An empty
+table has a table of frequencies without ids.  A very long text is a chunk of its
+own.  Further columns are left out.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import _common as C
@@ -35,6 +40,8 @@ LANES = 32
 CHECKPOINT = 256  # steps; a step codes one id in each lane
 BLOCK = 8 * CHECKPOINT * LANES  # ids
 CHUNK = 1 << 20  # ids after which a chunk is closed
+SLICE = 4 << 20  # bytes of text that are encoded at a time
+VERSION = 1
 END_ID = 1
 
 
@@ -157,7 +164,7 @@ def token_rows(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         sent = [wide[-1].encode() + pack.compress(r.astype(wide).tobytes()) for r in rows]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(r) for r in rows], pa.int64()), pa.array(sent, pa.binary())], ["doc_id", "n", "ids"])
 
-    return C.map_arrow(C.ids_and_texts(docs), step, "doc_id long, n long, ids binary")
+    return C.map_arrow(C.ids_and_texts(docs), step, "doc_id long, n long, ids binary", most=SLICE)
 
 
 def unpacked(raw: bytes) -> np.ndarray:
@@ -188,8 +195,11 @@ def count_ids(batches):
 CHUNK_SCHEMA = "part int, chunk int, start long, n_ids long, doc_ids array<long>, lengths array<long>, blocks array<binary>"
 
 
-def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID, ids_a_file: int = 1 << 24) -> tuple[DataFrame, np.ndarray]:
-    """Write the files; returns their chunks as reread, and the shared table of frequencies.
+TABLE_SCHEMA = "version int, end_id int, bits int, ids array<int>, freq array<int>"
+
+
+def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, ids_a_file: int = 1 << 22) -> None:
+    """Write the files of docs into a new folder.
 
     start is a chunk's first id within its file; files follow one another by part.
     """
@@ -230,20 +240,30 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID, ids_a_
             yield flush()
 
     ordered = rows.select("doc_id", "ids").repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    return C.settle(ordered.mapInArrow(encode, CHUNK_SCHEMA), "rans"), freq
+    ordered.mapInArrow(encode, CHUNK_SCHEMA).write.parquet(f"{folder}/chunks")
+    known = np.flatnonzero(freq)
+    spark.createDataFrame([(VERSION, end_id, BITS, known.tolist(), freq[known].tolist())], TABLE_SCHEMA).coalesce(1).write.parquet(f"{folder}/table")
+    C.discard(rows)
 
 
 CHUNK_NAMES = [x.split()[0] for x in CHUNK_SCHEMA.split(", ")]
 
 
-def read(chunks: DataFrame, freq: np.ndarray) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) from the files; start counts the ids of all files before too."""
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids, crc) from the files of a folder; start counts the ids of all files before too."""
+    (table,) = spark.read.schema(TABLE_SCHEMA).parquet(f"{folder}/table").collect()
+    if table.version != VERSION:
+        raise ValueError(f"files of version {table.version}, not {VERSION}")
+    freq = np.zeros(max(table.ids, default=-1) + 1, np.int64)
+    freq[table.ids] = table.freq
+    bits = table.bits
+    chunks = spark.read.schema(CHUNK_SCHEMA).parquet(f"{folder}/chunks")
     sizes = chunks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     # One row for each file.
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
 
     def decode(batches):
-        coder = Coder(freq)
+        coder = Coder(freq, bits)
         for batch in batches:
             for i in range(batch.num_rows):
                 lengths = np.asarray(batch.column("lengths")[i].values, np.int64)
@@ -258,7 +278,9 @@ def read(chunks: DataFrame, freq: np.ndarray) -> DataFrame:
 
 
 def query_of(docs: DataFrame) -> DataFrame:
-    return read(*write(docs)).select("doc_id", "start", "n_tokens", F.col("crc").alias("ids_crc32"))
+    folder = f"{C.shared_dir(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
+    write(docs, folder)
+    return read(docs.sparkSession, folder).select("doc_id", "start", "n_tokens", F.col("crc").alias("ids_crc32"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

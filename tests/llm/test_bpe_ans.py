@@ -86,6 +86,27 @@ def test_files_hold_ids_in_order(docs_of):
         start += len(ids)
 
 
+def test_files_are_read_by_their_folder_alone(spark, docs_of, tmp_path):
+    rows = [(i, "some words " * (i % 5)) for i in range(50)]
+    ans.write(docs_of(rows), str(tmp_path / "f"), ids_a_file=100)
+    assert ans.read(spark, str(tmp_path / "f")).count() == 50
+    (t,) = spark.read.parquet(str(tmp_path / "f" / "table")).collect()
+    assert (t.version, t.end_id, sum(t.freq)) == (ans.VERSION, ans.END_ID, 1 << t.bits)
+    spark.createDataFrame([(99, 1, 20, [1], [1 << 20])], ans.TABLE_SCHEMA).write.mode("overwrite").parquet(str(tmp_path / "f" / "table"))
+    with pytest.raises(ValueError, match="version"):
+        ans.read(spark, str(tmp_path / "f"))
+
+
+def test_parts_of_whole_documents_as_the_library(spark):
+    """A seeded sample of documents, whole, against the library on whole texts; both encoders."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").sample(0.05, seed=7).toPandas().text.tolist()
+    model = bpe.load(bpe.default_path())
+    whole = [e.ids for e in model.library.encode_batch_fast([t or "" for t in docs], add_special_tokens=False)]
+    for encode in (model.library_texts, model.encode_texts):
+        ids, ends = encode(pa.array(docs, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == whole
+
+
 def test_files_of_an_empty_table_and_repeated_ids(docs_of):
     assert ans.query_of(docs_of([])).count() == 0
     out = ans.query_of(docs_of([(5, "a b"), (5, "a b"), (None, "c")])).orderBy("start").collect()
