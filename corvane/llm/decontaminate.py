@@ -14,7 +14,8 @@ Items with the same words form one class, so repeated items do not multiply hits
 A document's hits are spans within it: what is collected for one document is
 bounded by its own text and the list of items its result must name.
 
-A null text has no words.  Items without words or with a null id take no part.
+A null text has no words.  Items without words or with a null id take no part: an
+item that cannot be named makes no hits, in the SQL alike.
 Rows that share a doc_id, null included, count as one document with the hits of
 all of them, and each of them is returned with its own number of words.
 """
@@ -60,11 +61,16 @@ def fingerprints(words: F.Column, k: int, window: int) -> F.Column:
     return F.array_distinct(least)
 
 
-def hits_of_length(docs: DataFrame, items: DataFrame, length: int, k: int) -> DataFrame:
-    """(doc_id, pos, length, window, class): windows of one length that begin at word pos of a document, for items (class, words)."""
+def windows_of(items: DataFrame, length: int) -> DataFrame:
+    """(class, window, wid): the distinct windows of items; wid is a digest of length and window."""
     starts = steps(F.size("words") - (length - 1))
-    windows = items.select("class", F.explode(F.array_distinct(F.transform(starts, lambda i: F.concat_ws(" ", F.slice("words", i, length))))).alias("window"))
-    windows = C.settle(windows, "item_windows")
+    own = items.select("class", F.explode(F.array_distinct(F.transform(starts, lambda i: F.concat_ws(" ", F.slice("words", i, length))))).alias("window"))
+    return own.withColumn("wid", F.md5(F.concat_ws(" ", F.lit(str(length)), F.col("window")).cast("binary")))
+
+
+def hits_of_length(docs: DataFrame, items: DataFrame, length: int, k: int) -> DataFrame:
+    """(doc_id, pos, length, wid): windows of one length that begin at word pos of a document and that items (class, words) have."""
+    windows = windows_of(items, length).select("window", "wid").distinct()
     prints = C.settle(items.select(F.explode(fingerprints(F.col("words"), k, length)).alias("fp")).distinct(), "item_prints")
     own = docs.select("doc_id", F.explode(fingerprints(words_of(F.col("text")), k, length)).alias("fp"))
     matched = C.settle(own.join(prints, "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "matched")
@@ -83,7 +89,7 @@ def hits_of_length(docs: DataFrame, items: DataFrame, length: int, k: int) -> Da
         return F.transform(starts_of, lambda i: F.struct(i.alias("pos"), F.concat_ws(" ", F.slice(words, i, length)).alias("window")))
 
     spans = near.select("doc_id", F.explode(let(words_of(F.col("text")), windows_near)).alias("span"))
-    return spans.select("doc_id", "span.pos", "span.window").join(windows, "window").select("doc_id", "pos", F.lit(length).alias("length"), "class")
+    return spans.select("doc_id", "span.pos", "span.window").join(windows, "window").select("doc_id", "pos", F.lit(length).alias("length"), "wid")
 
 
 def covered_words(spans: F.Column) -> F.Column:
@@ -102,17 +108,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     named = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text").cast("string")).alias("words")).where("item_id is not null and size(words) > 0")
     named = C.settle(named.groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("ids")).withColumn("class", F.xxhash64("words")), "items")
     lengths = sorted({min(r.n, window) for r in named.select(F.least(F.size("words"), F.lit(window)).alias("n")).distinct().collect()})
-    hits = None
+    hits = owners = None
     for length in lengths:
         items = named.where(F.size("words") == length if length < window else F.size("words") >= window).select("class", "words")
         found = hits_of_length(docs, items, length, min(gram, length) if length == window else length)
         hits = found if hits is None else hits.unionByName(found)
+        owned = windows_of(items, length).select("wid", "class")
+        owners = owned if owners is None else owners.unionByName(owned)
     counted = docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     if hits is None:
         none = counted.withColumns({"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items": F.array().cast("array<string>")})
         return none.withColumn("contaminated", F.lit(False))
-    hits = C.settle(hits.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("pos", "length"))).alias("spans"), F.collect_set("class").alias("classes")), "hits")
-    items = hits.select("doc_id", F.explode("classes").alias("class")).join(named.select("class", "ids"), "class")
+    hits = C.settle(hits.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("pos", "length"))).alias("spans"), F.collect_set("wid").alias("wids")), "hits")
+    # A window is looked up once for each document, however often it stands there and however many items share it.
+    own = hits.select("doc_id", F.explode("wids").alias("wid")).join(C.settle(owners, "owners"), "wid").select("doc_id", "class").distinct()
+    items = own.join(named.select("class", "ids"), "class")
     items = items.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("items"))
     per_doc = hits.select("doc_id", covered_words(F.col("spans")).alias("n_hit")).join(items, F.col("doc_id").eqNullSafe(F.col("_id"))).select("_id", "n_hit", "items")
     out = counted.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
@@ -129,7 +139,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
 bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS win FROM b, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS t(i) WHERE len(w) > 0),
 ns AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT doc_id, n, i AS pos, array_to_string(w[i : i + n - 1], ' ') AS win FROM d, ns, unnest(range(1, greatest(len(w) - n, -1) + 2)) AS t(i) WHERE len(w) >= n),
