@@ -9,14 +9,14 @@ vector.
 
 What a vector can still gain is bounded by the components in which it has not been
 met: each gives at most the impact of its next segment, and quantisation hides at
-most a level's width.  Processing stops when so few vectors can reach the k-th best
-lower bound, or the k-th score that the query has from blocks before, that scoring
-them exactly costs no more than the segments that are left; every possible member
-is then scored exactly.
+most a level's width.  Processing stops when no more than a share FEW of a block's
+vectors can reach the k-th best lower bound, or the k-th best score that the query
+has elsewhere; every possible member is then scored exactly.
 
 Blocks stay where they are and queries, the smaller side, go to them in blocks of
-their own.  A task takes its blocks one after the other, indexes each once, and
-carries each query's k best scores on; what it emits is merged by score.
+their own.  All queries search one block first; their k-th best scores there go with
+them to the other blocks.  A task takes its blocks one after the other, indexes each
+once, and carries each query's k best scores on; what it emits is merged by score.
 
 Vectors that are null, or hold null, NaN or infinite components, take no part.
 Missing components of a shorter vector count as 0.  Null ids take no part.  Rows that
@@ -32,12 +32,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm._common import gather, table
+from corvane.llm._common import gather, settle, table
 
 VECTORS_A_BLOCK = 4096
 QUERIES_A_BLOCK = 256
-LEVELS = 256
-STEPS = 24  # times that a search looks whether it may stop
+LEVELS = 128
+CHECKS = (0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)  # shares of the postings after which a search looks whether it may stop
+FEW = 1 / 8  # of a block's vectors, that may be members when it stops
 
 
 def integers(df: DataFrame, scale: int) -> DataFrame:
@@ -61,15 +62,18 @@ class ImpactIndex:
         self.width = np.maximum(1, -(-(high - low + 1) // levels))
         self.low = low
         level = (vectors - low) // self.width
+        self.levels = np.ascontiguousarray(level.T.astype(np.int16 if levels < 1 << 15 else np.int64))
         order = np.argsort(level, axis=0, kind="stable").astype(np.int32)
-        dim, lev, start = [], [], []
+        lev, start, count = [], [], []
         for j in range(dims):
             found, first = np.unique(level[order[:, j], j], return_index=True)
-            dim.append(np.full(len(found), j))
             lev.append(found)
             start.append(first + j * n)
+            count.append(len(found))
         none = np.zeros(0, np.int64)
-        self.dim, self.level = (np.concatenate([none, *x]).astype(np.int64) for x in (dim, lev))
+        self.level = np.concatenate([none, *lev]).astype(np.int64)
+        self.dim = np.repeat(np.arange(dims), count)
+        self.first = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)  # segment of each component
         self.ids = order.T.ravel()
         self.ends = np.concatenate([none, *start, [n * dims]]).astype(np.int64)
         self.size = np.diff(self.ends)
@@ -83,35 +87,43 @@ class ImpactIndex:
         if not n - (skip >= 0):
             return none, none
         floor = q[self.dim] * (self.low[self.dim] + self.level * self.width[self.dim])
-        least = np.full(dims, np.iinfo(np.int64).max)
-        np.minimum.at(least, self.dim, floor)
+        up = q >= 0
+        least = floor[np.where(up, self.first[:-1], self.first[1:] - 1)]
         impact = floor - least[self.dim]
         order = np.argsort(-impact, kind="stable")
         hidden = q * (self.width - 1)
         above, below, base = int(np.maximum(hidden, 0).sum()), int(np.minimum(hidden, 0).sum()), int(least.sum())
         cost = np.cumsum(self.size[order])
-        cuts = np.unique(np.searchsorted(cost, cost[-1] * np.arange(1, STEPS + 1) / STEPS) + 1)
-        got, met = np.zeros(n), np.zeros((dims, n), bool)
+        many = np.diff(self.first)
+        done = np.zeros(dims, np.int64)  # segments of each component that are processed
+        got = np.zeros(n)
         possible, at = np.arange(n), 0
-        for cut in cuts.tolist():
+        for share in CHECKS:
+            cut = int(np.searchsorted(cost, cost[-1] * share)) + 1
             part = order[at:cut]
             at = cut
             ids, size = gather(self.ids, self.ends, part)
-            got += np.bincount(ids, np.repeat(impact[part], size).astype(float), n)
-            met[np.repeat(self.dim[part], size), ids] = True
+            got += np.bincount(ids, np.repeat(impact[part], size), n)
             self.scanned += len(ids)
+            done += np.bincount(self.dim[part], minlength=dims)
             lower = got + (base + below)
             if skip >= 0:
                 lower[skip] = -np.inf
             if n > k:
                 bar = max(bar, np.partition(lower, n - k)[n - k])
-            next_ = np.zeros(dims)  # the first of a component in this order is its largest
-            rest = order[at:]
-            found, first = np.unique(self.dim[rest], return_index=True)
-            next_[found] = impact[rest[first]]
-            upper = got + (base + above) + (next_.sum() - next_ @ met)
-            possible = np.flatnonzero(upper >= bar)
-            if len(possible) * dims <= cost[-1] - cost[at - 1]:
+            # Of each component: the next segment, the most that a vector not met in it can gain there.
+            left = done < many
+            following = np.where(up, self.first[1:] - 1 - done, self.first[:-1] + done)[left]
+            next_, edge = impact[following], self.level[following].astype(self.levels.dtype)
+            rising, falling = (np.flatnonzero(left & x) for x in (~up, up))
+            at_, value = np.zeros(dims, np.int64), np.zeros(dims, np.float32)
+            at_[left], value[left] = np.arange(len(edge)), next_
+            gain = np.zeros(n, np.float32)
+            for own_, compare in ((falling, np.less_equal), (rising, np.greater_equal)):
+                gain += value[own_] @ compare(self.levels[own_], edge[at_[own_], None]).astype(np.float32)
+            gain += np.float32(1e-4) * next_.sum()  # for rounding
+            possible = np.flatnonzero(got + (base + above) + gain >= bar)
+            if len(possible) <= FEW * n:
                 break
         possible = possible[possible != skip]
         exact = self.vectors[possible] @ q
@@ -124,18 +136,19 @@ class ImpactIndex:
 def pack(df: DataFrame, salt: str, rows: int, total: int) -> DataFrame:
     """Rows of df in blocks of about ``rows``: (block, members)."""
     blocks = max(1, -(-total // rows))
-    return df.groupBy(F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "row", "v"))).alias("members"))
+    return df.groupBy(F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "row", "v", "bar"))).alias("members"))
 
 
-def unpack(members: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack(members: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     rows = members.values
     ids, own = (np.asarray(rows.field(c), np.int64) for c in ("vec_id", "row"))
+    bar = np.asarray(pc.fill_null(rows.field("bar"), -(1 << 62)), np.int64).astype(float)
     lists = rows.field("v")
     sizes = np.asarray(pc.list_value_length(lists), np.int64)
     out = np.zeros((len(ids), int(sizes.max(initial=0))), np.int64)
     flat = np.asarray(lists.flatten(), np.int64)
     out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = flat
-    return ids, own, out
+    return ids, own, out, bar
 
 
 def search_blocks(k: int):
@@ -150,13 +163,13 @@ def search_blocks(k: int):
                 q_block = batch.column("q_block")[i].as_py()
                 if q_block < 0:
                     block = batch.column("block")[i].as_py()
-                    ids, own, vectors = unpack(batch.column("members")[i])
+                    ids, own, vectors, _ = unpack(batch.column("members")[i])
                     index = None
                     place = {(a, b): p for p, (a, b) in enumerate(zip(ids.tolist(), own.tolist()))}
                     continue
                 if batch.column("block")[i].as_py() != block:  # no vector fell into that block
                     continue
-                q_ids, q_own, queries = unpack(batch.column("members")[i])
+                q_ids, q_own, queries, bar = unpack(batch.column("members")[i])
                 dims = max(vectors.shape[1], queries.shape[1])
                 queries = np.pad(queries, ((0, 0), (0, dims - queries.shape[1])))
                 if index is None or index.vectors.shape[1] < dims:
@@ -165,7 +178,7 @@ def search_blocks(k: int):
                 top = best.setdefault(q_block, np.full((len(q_ids), k), -np.inf))
                 rows = []
                 for j, q in enumerate(queries):
-                    at, score = index.search(q, k, place.get((int(q_ids[j]), int(q_own[j])), -1), top[j, 0], ids)
+                    at, score = index.search(q, k, place.get((int(q_ids[j]), int(q_own[j])), -1), max(top[j, 0], bar[j]), ids)
                     top[j] = np.sort(np.concatenate([top[j], score]))[-k:]
                     rows.append((np.full(len(at), q_ids[j]), np.full(len(at), q_own[j]), ids[at], own[at], score))
                 if rows:
@@ -175,21 +188,39 @@ def search_blocks(k: int):
     return run
 
 
+FOUND = "query_id long, query_row long, vec_id long, row long, score long"
+
+
+def met(blocks: DataFrame, asked: DataFrame, n_asked: int, n_blocks: int, first: int, k: int) -> DataFrame:
+    """FOUND: what blocks (block, members), numbered from first to n_blocks - 1, hold for the queries asked."""
+    packed = pack(asked, "q", QUERIES_A_BLOCK, n_asked).withColumnRenamed("block", "q_block")
+    # Each block of vectors meets each block of queries once; what is copied is the queries.
+    spread = packed.select(F.explode(F.sequence(F.lit(first).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"), "members", "q_block")
+    rows = blocks.withColumn("q_block", F.lit(-1).cast("long")).unionByName(spread)
+    tasks = max(1, min(n_blocks - first, blocks.sparkSession.sparkContext.defaultParallelism * 4))
+    rows = rows.repartition(tasks, "block").sortWithinPartitions("block", "q_block")
+    return rows.select("block", "q_block", "members").mapInArrow(search_blocks(k), FOUND)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id", "query_row").orderBy(F.col("score").desc(), F.col("vec_id"), F.col("row"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of vectors with the highest score for each row of queries."""
-    base, asked = integers(vectors, scale), integers(queries, scale)
+    none = F.lit(None).cast("long").alias("bar")
+    base, asked = (integers(x, scale).select("row", "vec_id", "v", none) for x in (vectors, queries))
     total, n_asked = base.count(), asked.count()
-    blocks = pack(base, "v", VECTORS_A_BLOCK, total).withColumn("q_block", F.lit(-1).cast("long"))
     n_blocks = max(1, -(-total // VECTORS_A_BLOCK))
-    packed = pack(asked, "q", QUERIES_A_BLOCK, n_asked).withColumnRenamed("block", "q_block")
-    # Each block of vectors meets each block of queries once; what is copied is the queries.
-    spread = packed.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"), "members", "q_block")
-    met = blocks.unionByName(spread)
-    tasks = max(1, min(n_blocks, vectors.sparkSession.sparkContext.defaultParallelism * 4))
-    met = met.repartition(tasks, "block").sortWithinPartitions("block", "q_block")
-    found = met.select("block", "q_block", "members").mapInArrow(search_blocks(k), "query_id long, query_row long, vec_id long, row long, score long")
-    order = Window.partitionBy("query_id", "query_row").orderBy(F.col("score").desc(), F.col("vec_id"), F.col("row"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    blocks = pack(base, "v", VECTORS_A_BLOCK, total)
+    found = met(blocks.where("block = 0"), asked, n_asked, 1, 0, k)
+    if n_blocks > 1:
+        found = settle(found, "first_block")
+        bars = ranked(found, k).where(F.col("rank") == k).select(F.col("query_row").alias("row"), F.col("query_id").alias("vec_id"), F.col("score").alias("known"))
+        asked = asked.join(bars, ["row", "vec_id"], "left").select("row", "vec_id", "v", F.col("known").alias("bar"))
+        found = found.unionByName(met(blocks.where("block > 0"), asked, n_asked, n_blocks, 1, k))
+    return ranked(found, k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
