@@ -40,7 +40,7 @@ LANES = 32
 CHECKPOINT = 256  # steps; a step codes one id in each lane
 BLOCK = 8 * CHECKPOINT * LANES  # ids
 CHUNK = 1 << 20  # ids after which a chunk is closed
-SLICE = 4 << 20  # bytes of text that are encoded at a time
+SLICE = 12 << 20  # bytes of text that are encoded at a time
 VERSION = 1
 END_ID = 1
 
