@@ -52,13 +52,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     del df
     release(spark)
     out = spark.read.schema(schema).parquet(path)
-    out.settled_at = path
+    out.settled_at = path  # kept by this object only, not by what is derived from it
     return out
 
 
 def discard(*settled: DataFrame) -> None:
     """Delete tables that settle wrote, once nothing that is still to run reads them."""
     for df in settled:
+        if not hasattr(df, "settled_at"):
+            continue
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.settled_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,20 +1,26 @@
-"""Substring deduplication by runs of word windows, in place of de Bruijn compaction.
+"""Substring deduplication on a de Bruijn graph of word windows, compacted by joins.
 
 The edges of the graph are the windows of ``window`` words, its nodes their
-overlaps.  Windows that follow one another and share a minimizer (the least hash
-of their ``anchor_words``-grams) can only be walked together within one text, so
-each such run is kept as one nonbranching path: its minimizer, the hash of its
-words, and its source coordinate (doc_id, start, number of windows).  Paths are not
-joined across their ends: there are no tables of nodes or edges, and no degrees.
+overlaps of one word less.  Windows that follow one another and share a minimizer
+(the least hash of their ``anchor_words``-grams) are cut out together: such a run has
+its minimizer, the hash of its words, and its source coordinate (doc_id, start,
+number of windows).
 
-1. Paths whose minimizer occurs once in the corpus hold no repeated window; a join
+1. Runs whose minimizer occurs once in the corpus hold no repeated window; a join
    with the repeated minimizers drops them.
-2. Equal paths compact into one class, whose source is its first occurrence.
-3. Where one minimizer has several classes the graph branches: there the classes'
-   first occurrences are opened into single windows, which a join on two
+2. Equal runs are one class, whose source is its first occurrence.
+3. Where one minimizer has several classes, these may share some windows only: the
+   classes' first occurrences are opened into single windows, which a join on two
    independent 64-bit hashes compares.
-4. A window is repeated if its class or itself has an earlier source.  The source
-   coordinates go back to the texts, where the covered words are removed.
+4. Repeated classes and windows are the edges that are left.  Their ends give the
+   nodes, with the numbers of edges in and out.  Through a node that has one of
+   each, the edge that ends there and the one that starts there are linked if their
+   source coordinates follow one another, which verifies that their words stand side
+   by side; linked edges compact into paths by joins that double the length reached
+   (pointer jumping).
+5. An edge that has an earlier source is repeated.  A document's edges of one path
+   that stand as they do in the path are one long span; spans go back to the texts,
+   where the covered words are removed.
 
 No step collects a group: classes and windows are counted with partial sums, and
 each join has two plain tables for sides, so that Spark splits a hot path.
@@ -118,8 +124,60 @@ def opened(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
     return C.map_arrow(docs.join(runs, "doc_id"), step, "w1 long, w2 long, doc_id long, start int")
 
 
+def overlaps(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, start, n, head, tail): hashes of the nodes that runs (doc_id, runs array<struct<start, n>>) start and end at."""
+
+    def step(batch):
+        words, index, ends = C.index_words(batch.column("text"))
+        lists = batch.column("runs")
+        size = np.asarray(pc.list_value_length(lists), np.int64)
+        flat = lists.flatten()
+        start, n = (np.asarray(flat.field(c), np.int64) for c in ("start", "n"))
+        doc = np.repeat(np.arange(len(size)), size)
+        at = start + ends[:-1][doc]
+        ok = at + n + window - 1 <= ends[1:][doc]  # a repeated doc_id may name a shorter text
+        doc, start, n, at = doc[ok], start[ok], n[ok], at[ok]
+        hashes = C.SpanHash(words, index, 5)
+        head, tail = hashes.spans(at, window - 1), hashes.spans(at + n, window - 1)
+        ids = np.asarray(batch.column("doc_id"), np.int64)[doc]
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(C.signed(head)), pa.array(C.signed(tail))], ["doc_id", "start", "n", "head", "tail"])
+
+    return C.map_arrow(docs.join(runs, "doc_id"), step, "doc_id long, start int, n int, head long, tail long")
+
+
+def compacted(docs: DataFrame, edges: DataFrame, window: int) -> DataFrame:
+    """(edge, path, offset): of the edges (doc_id, start, n) that are not alone, their nonbranching path's first edge, and the windows before them in it."""
+    lists = edges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    ends = C.settle(overlaps(docs, lists, window), "overlaps")
+    edge = F.struct("doc_id", "start", "n")
+    one = lambda node, name: ends.groupBy(F.col(node).alias("node")).agg(F.count(F.lit(1)).alias("degree"), F.min(edge).alias(name)).where("degree = 1").drop("degree")
+    links = one("tail", "before").join(one("head", "after"), "node")
+    links = C.settle(links.where("before.doc_id = after.doc_id and before.start + before.n = after.start").select("before", "after"), "links")
+    first = links.select(F.col("before").alias("edge")).join(links.select(F.col("after").alias("edge")), "edge", "left_anti")
+    paths_ = links.select(F.col("after").alias("edge"), F.col("before").alias("path"), F.col("before.n").alias("offset"))
+    paths_ = C.settle(paths_.unionByName(first.select("edge", F.col("edge").alias("path"), F.lit(0).alias("offset"))), "reach")
+    while True:
+        further = paths_.select(F.col("edge").alias("path"), F.col("path").alias("first"), F.col("offset").alias("more"))
+        jumped = paths_.join(further, "path").select("edge", F.col("first").alias("path"), (F.col("offset") + F.col("more")).alias("offset"), (F.col("first") != F.col("path")).alias("moved"))
+        jumped = C.settle(jumped, "reach")
+        C.discard(paths_)
+        paths_ = jumped
+        if paths_.where("moved").isEmpty():
+            C.discard(ends, links)
+            return paths_.drop("moved")
+
+
+def spans_of(runs: DataFrame, paths_: DataFrame) -> DataFrame:
+    """(doc_id, start, n): runs (doc_id, start, n, edge) that stand in a document as in their path, end to end, are one."""
+    own = runs.join(paths_, "edge", "left").select("doc_id", "start", "n", F.coalesce("path", "edge").alias("path"), (F.col("start") - F.coalesce("offset", F.lit(0))).alias("shift"))
+    # As long as a document's part of one path.
+    whole = own.groupBy("doc_id", "path", "shift").agg(F.min("start").alias("a"), F.max(F.col("start") + F.col("n")).alias("b"), F.sum("n").alias("total"), F.collect_set(F.struct("start", "n")).alias("runs"))
+    spans = F.when(F.col("total") == F.col("b") - F.col("a"), F.array(F.struct(F.col("a").alias("start"), (F.col("b") - F.col("a")).alias("n")))).otherwise(F.col("runs"))
+    return whole.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.start", "s.n")
+
+
 def repeated(docs: DataFrame, window: int = WINDOW, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
-    """(doc_id, start, n): runs of n windows each of which also starts earlier."""
+    """(doc_id, start, n): spans of n windows each of which also starts earlier, as a settled table."""
     docs = docs.where(F.col("doc_id").isNotNull())
     counts = anchor_counts(docs, window, anchor_words).groupBy("anchor").agg(F.sum("times").alias("times"))
     shared = C.settle(counts.where("times > 1").select("anchor"), "anchors")
@@ -131,8 +189,17 @@ def repeated(docs: DataFrame, window: int = WINDOW, anchor_words: int = ANCHOR_W
     single = C.settle(opened(docs, firsts, window).distinct(), "windows")
     sources = C.settle(single.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("source"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times"), "sources")
     later = F.col("source") != F.struct("doc_id", "start")
-    whole = runs.join(classes.where("times > 1").select("anchor", "path", "n", "source"), ["anchor", "path", "n"]).where(later).select("doc_id", "start", "n")
-    return whole.unionByName(single.join(sources, ["w1", "w2"]).where(later).select("doc_id", "start", F.lit(1).alias("n")))
+    again = classes.where("times > 1").select("anchor", "path", "n", "source")
+    edges = again.select("source", "n").unionByName(sources.select("source", F.lit(1).alias("n"))).select("source.doc_id", "source.start", "n").distinct()
+    edge = F.struct("source.doc_id", "source.start", "n").alias("edge")
+    whole = runs.join(again, ["anchor", "path", "n"]).where(later).select("doc_id", "start", "n", edge)
+    opened_ = single.join(sources, ["w1", "w2"]).where(later).withColumn("n", F.lit(1)).select("doc_id", "start", "n", edge)
+    found = C.settle(whole.unionByName(opened_), "found")
+    C.discard(shared, branching)
+    paths_ = compacted(docs, edges, window)
+    out = C.settle(spans_of(found, paths_), "spans")
+    C.discard(runs, classes, single, sources, found, paths_)
+    return out
 
 
 def covered(runs: DataFrame, window: int) -> DataFrame:
@@ -171,7 +238,7 @@ def strip(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
 def dedup(docs: DataFrame, window: int = WINDOW, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
     """(doc_id, text, n_words, n_removed, kept)."""
     docs = C.ids_and_texts(docs)
-    return strip(docs, C.settle(repeated(docs, window, anchor_words), "runs"), window)
+    return strip(docs, repeated(docs, window, anchor_words), window)
 
 
 def query_of(docs: DataFrame) -> DataFrame:
