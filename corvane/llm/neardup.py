@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import _common as C
-from corvane.llm._graph import components
+from corvane.llm._graph import SALTS, components
 
 SHINGLE = 5
 BANDS = 32
@@ -44,6 +44,8 @@ ROWS = 4
 SKETCH_BITS = 512
 SIGMAS = 6.0
 MEMBERS_A_BLOCK = 512
+PAIRS_A_SET = 256  # compared with one copy of a set
+BLOCK_BYTES = 8 << 20  # of sketches of full sets
 
 
 def shingle_sets(text: pa.Array, k: int) -> list[np.ndarray]:
@@ -176,12 +178,18 @@ def signatures(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int
     return C.map_arrow(docs, step, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch array<long>, odd binary")
 
 
-def sketches_pass(pairs: DataFrame, sketch: DataFrame, most: int, bits: int) -> DataFrame:
-    """The pairs (a, b) whose sketches differ in no more than ``most`` bits."""
-    one = pairs.join(sketch.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
-    two = one.join(sketch.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a")
+def passing(keys: DataFrame, sketch: DataFrame, most: int, bits: int) -> DataFrame:
+    """The pairs (a, b) of rows of keys (key, doc_id, a) whose sketches differ in no more than ``most`` bits; a is the bucket's least id.
+
+    A bucket's sketch is looked up once and handed to its rows in SALTS portions, so
+    neither a large bucket nor an id that leads many of them is a hot key.
+    """
+    lead = keys.select("key", "a").distinct().join(sketch.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a")
+    lead = lead.select("key", "a", "sa", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = keys.where("doc_id != a").select("key", F.col("doc_id").alias("b"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    two = rows.join(lead, ["key", "salt"]).select("a", "b", "sa").dropDuplicates(["a", "b"]).join(sketch.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
     differ = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(bits // 64)), F.lit(0))
-    return two.where(differ <= most).select("a", "b").distinct()
+    return two.where(differ <= most).select("a", "b")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -191,30 +199,56 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
         own = [s.astype("<u8").tobytes() for s in shingle_sets(batch.column("text"), k)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own, pa.binary())], ["doc_id", "set"])
 
+    def alike(x, y) -> bool:
+        x, y = (x, y) if len(x) <= len(y) else (y, x)
+        both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    def compare_rows(batch):
+        keep = [alike(*(np.frombuffer(z.as_buffer(), "<u8") for z in pair)) for pair in zip(batch.column("set_a"), batch.column("set_b"))]
+        return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     def compare(batches):
+        a, own = None, None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = (np.frombuffer(z.as_buffer(), "<u8") for z in (x, y))
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found = []
+            for i, b in enumerate(batch.column("b").to_pylist()):
+                x = np.frombuffer(batch.column("set")[i].as_buffer(), "<u8")
+                if b is None:  # the set that those after it are compared with
+                    a, own = batch.column("a")[i].as_py(), x.copy()
+                    continue
+                if batch.column("a")[i].as_py() != a:
+                    raise ValueError("a set is missing")
+                if alike(x, own):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     wanted = C.settle(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
     full = C.settle(C.map_arrow(docs.join(wanted, "doc_id"), sets, "doc_id long, set binary"), "sets")
-    one = pairs.join(full.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
-    two = one.join(full.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
-    return two.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long").distinct()
+    # Ids that several texts share have several sets; their pairs are joined one by one.
+    several = C.settle(full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("a")), "several")
+    plain, pairs = pairs.join(several, "a", "left_semi"), pairs.join(several, "a", "left_anti")
+    one = plain.join(full.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
+    joined = one.select("a", "b", "set_a", "set_b").mapInArrow(lambda batches: (compare_rows(batch) for batch in batches), "a long, b long")
+    # A set travels once for each PAIRS_A_SET of its pairs, ahead of the sets that it is compared with.
+    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_SET).cast("int").alias("parts"))
+    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    left = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(full.select(F.col("doc_id").alias("a"), "set"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "set")
+    right = dealt.join(full.select(F.col("doc_id").alias("b"), "set"), "b").select("a", "part", "b", "set")
+    met = left.unionByName(right).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    out = C.settle(met.select("a", "b", "set").mapInArrow(compare, "a long, b long").unionByName(joined).distinct(), "confirmed")
+    C.discard(wanted, full, several)
+    return out
 
 
 def cross_pairs(keys: DataFrame, labels: DataFrame, reps: DataFrame, most: int, percent: int) -> DataFrame:
     """Pairs of different components within the buckets of keys (key, doc_id) that their sketches let pass."""
     labelled = keys.join(labels.select("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_keys = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("size > 2 and lo != hi").select("key", "size")
+    sized = labelled.join(reps.select("doc_id", "n_shingles", F.length("odd").alias("bytes")), "doc_id")
+    open_keys = sized.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("size > 2 and lo != hi").select("key", "size", "bytes")
     open_keys = C.settle(open_keys, "open")
     rows = labelled.join(open_keys, "key").join(reps.select("doc_id", "n_shingles", "sketch", "odd"), "doc_id")
-    rows = rows.withColumn("blocks", F.ceil(F.col("size") / MEMBERS_A_BLOCK).cast("int"))
+    rows = rows.withColumn("blocks", F.greatest(F.ceil(F.col("size") / MEMBERS_A_BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     blocks = C.settle(rows.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("doc_id", "component", "n_shingles", "sketch", "odd")).alias("members")), "blocks")
     left = blocks.select("key", "block", "members", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other"))
@@ -243,8 +277,7 @@ def classes(docs: DataFrame, percent: int, k: int = SHINGLE, bands: int = BANDS,
     shared = C.settle(keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a != z").select("key", "a"), "buckets")
     keys = C.settle(keys.join(shared, "key").select("key", "doc_id", "a"), "keys")
     most = most_xor(percent / 100, bands * rows, SKETCH_BITS)
-    first = keys.where("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct()
-    first = C.settle(sketches_pass(first, sketch, most, SKETCH_BITS), "pairs")
+    first = C.settle(passing(keys, sketch, most, SKETCH_BITS), "pairs")
     # Rows of one doc_id with different texts, and the sets equal to a representative's, are links as they stand.
     twins = real.join(same, ["n_shingles", "h1", "h2"]).where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     edges = C.settle(confirm(first, docs, k, percent), "links")
