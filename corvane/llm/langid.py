@@ -11,7 +11,9 @@ table has BUCKETS columns for each language, whatever the corpus holds.
 
 Null texts and texts without letters are ``und`` with the score 0, as is every text
 if nothing was learned.  Repeated rows are labelled alike.  A null doc_id counts
-as the empty text when rows are dealt to training.
+as the empty text when rows are dealt to training.  Ties go to the language whose
+name sorts first, and to staying in a language.  A very long text is labelled whole,
+in a slice of its own.  Further columns are left out.
 """
 
 from __future__ import annotations
