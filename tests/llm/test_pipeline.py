@@ -1,7 +1,10 @@
+import hashlib
 import re
 
 import corpus_pipeline
+import numpy as np
 from corvane.llm import _common as C
+from corvane.llm import bpe
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,7 +29,12 @@ def test_stages_one_by_one(spark):
         after = {r.doc_id: r for r in kept.collect()}
         assert after and set(after) <= set(before)
         if name.startswith("bpe"):
-            assert set(after) == set(before) and all(len(r.ids) == 4 * r.n_tokens for r in after.values())
+            library = bpe.load(bpe.default_path()).library
+            for d, r in after.items():
+                ids = library.encode(before[d].text or "", add_special_tokens=False).ids
+                assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.n_tokens == len(ids)
+                assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+            assert set(after) == set(before)
             continue
         assert kept.columns == columns
         if name.startswith("quality"):
@@ -43,12 +51,16 @@ def test_stages_one_by_one(spark):
                 sets[d] = own
         elif name.startswith("substring"):
             seen = set()
-            for d in sorted(after):
-                w = words(after[d].text)
-                if after[d].text == before[d].text:
-                    own = {tuple(w[i : i + 20]) for i in range(len(w) - 19)}
-                    assert not own & seen
-                    seen |= own
+            for d in sorted(before):  # every text, changed or not
+                w = words(before[d].text)
+                gone = set()
+                for i in range(len(w) - 19):
+                    window = tuple(w[i : i + 20])
+                    gone |= set(range(i, i + 20)) if window in seen else set()
+                    seen.add(window)
+                left = b" ".join(x for i, x in enumerate(w) if i not in gone).decode()
+                assert (d in after) == (not gone or left != "")
+                assert d not in after or after[d].text == (left if gone else before[d].text)
         else:
             hit = lambda t: any(tuple(w[i : i + 10]) in items[0] for w in [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t))] for i in range(len(w) - 9))
             assert set(after) == {d for d, r in before.items() if not hit(r.text)}
@@ -77,3 +89,18 @@ def test_unlike_texts_of_one_id_stay(spark, tmp_path):
     assert {(r.doc_id, r.text) for r in cut.collect() if r.doc_id in (8, 9)} == {(8, text("c")), (9, text("q") + " " + text("r")), (9, text("d"))}
     clean = corpus_pipeline.decontaminated(spark, cut, str(tmp_path)).collect()
     assert {r.text for r in clean if r.doc_id == 9} == {text("d")} and len(clean) == 7
+
+
+def test_clashing_columns_and_an_empty_table(spark, tmp_path):
+    extra = "score double, p_text double, _gone long, salt int, row string, kept boolean, path string"
+    docs = [(i, f"word{i} " * 30, "en", "s", 9, 0.5, 0.5, i, 1, "r", True, "p") for i in range(5)]
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "q")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for rows in (docs, []):
+        kept = spark.createDataFrame(rows, schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = C.settle(stage(spark, kept, str(tmp_path)), "stage")
+            assert kept.columns == spark.createDataFrame([], schema).columns
+        assert kept.count() == len(rows) and all(r.score == 0.5 and r.row == "r" for r in kept.collect())
+        assert corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path)).count() == len(rows)
