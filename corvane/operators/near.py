@@ -1,65 +1,216 @@
-"""NEAR extraction: field terms paired with the nearest node of their sentence."""
+"""NEAR extraction: field terms paired with the nearest node of their sentence, found within the row.
+
+``windows`` adds to each context its nodes, terms, pairs, hits, reference node and
+counts as arrays; nothing is shuffled, and only hits are exploded.  A term looks for
+its node among the few tokens around it first, and through all nodes of its context
+only where there is none, so long lines do not cost terms times nodes.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions import fixed
 from corvane.functions import text as T
+from corvane.operators import contexts as X
+
+AROUND = 16
+
+
+def positions(low: Column, high: Column) -> Column:
+    """low .. high, or nothing."""
+    return F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+
+
+def node_indexes(tok: Column, nodes: list[str]) -> Column:
+    """Places of all node words."""
+    return F.filter(F.transform(tok, lambda t, i: F.when(t.isin(list(nodes)), i)), lambda i: i.isNotNull())
 
-KEY = ["doc_id", "line"]
-
-
-def node_rows(tokens: DataFrame, nodes: list[str]) -> DataFrame:
-    return tokens.where(F.col("tok").isin(nodes)).select(*KEY, "sent", F.col("idx").alias("node_idx"), F.col("tok").alias("node"))
-
-
-def term_rows(tokens: DataFrame, field: dict[str, list[str]], nodes: list[str]) -> DataFrame:
-    """At each position the first label, in field order, that matches; nodes are no terms."""
-    return tokens.where(~F.col("tok").isin(nodes)).withColumn("term", T.first_label(F.col("tok"), field)).where("term is not null").select(*KEY, "sent", "idx", "term", F.col("tok").alias("form"))
-
-
-def nearest(terms: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Each term with its nearest node by (distance, leftmost, node); both sides share the exchange on the row's key."""
-    pairs = terms.join(nodes, [*KEY, "sent"])
-    dist = F.abs(F.col("idx") - F.col("node_idx"))
-    best = pairs.groupBy(*KEY, "sent", "idx", "term", "form").agg(F.min(F.struct(dist.alias("distance"), F.least("idx", "node_idx").alias("left"), "node_idx", "node")).alias("b"))
-    return best.select(*KEY, "sent", "idx", "term", "form", "b.distance", "b.node_idx", "b.node", F.when(F.col("idx") < F.col("b.node_idx"), "esq").otherwise("dir").alias("side"))
 
+def term_scan(tok: Column, field: dict[str, list[str]]) -> Column:
+    """array<struct<idx, n, term>>: at each place the first label, in field order, by its longest pattern that matches."""
+    first = "|".join(dict.fromkeys(seq[0] for _, seqs in T.compiled(field) for seq in seqs))
 
-def hits(near_terms: DataFrame, near: int) -> DataFrame:
-    """One hit for each term of a row: the nearest, the first on ties."""
-    order = Window.partitionBy(*KEY, "term").orderBy("distance", F.least("idx", "node_idx"), "idx")
-    return near_terms.where(F.col("distance") <= near).withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    def label(t, i):
+        out = None
+        for name, seqs in T.compiled(field):
+            for seq in seqs:
+                hit = t.rlike(seq[0])
+                for k, word in enumerate(seq[1:], 1):
+                    hit = hit & F.coalesce(F.get(tok, i + k).rlike(word), F.lit(False))
+                value = F.struct(i.alias("idx"), F.lit(len(seq)).alias("n"), F.lit(name).alias("term"))
+                out = F.when(hit, value) if out is None else out.when(hit, value)
+        return F.when(t.rlike(first), out)
 
+    return F.filter(F.transform(tok, label), lambda t: t.isNotNull())
 
-def band_hits(near_terms: DataFrame, found: DataFrame, near: int, band: int) -> DataFrame:
-    """Terms beyond near and within band whose type has no hit in the row."""
-    far = near_terms.where((F.col("distance") > near) & (F.col("distance") <= band))
-    return far.join(found.select(*KEY, "term"), [*KEY, "term"], "left_anti")
 
+def spans_gap(idx: Column, n: Column, node: Column) -> Column:
+    """Tokens from a node to the nearest end of a span."""
+    return F.when(node < idx, idx - node).otherwise(node - (idx + n - 1))
 
-def token_mass(tokens: DataFrame, nodes: DataFrame, low: int, high: int) -> DataFrame:
-    """Tokens of the sentence at a distance in (low, high] from the row's first node, by row."""
-    first = nodes.groupBy(*KEY).agg(F.min(F.struct("node_idx", "sent")).alias("n")).select(*KEY, "n.node_idx", "n.sent")
-    dist = F.abs(F.col("idx") - F.col("node_idx"))
-    met = tokens.join(first, [*KEY, "sent"]).where((dist > low) & (dist <= high))
-    return met.groupBy(*KEY).agg(F.count(F.lit(1)).alias("mass"))
 
+def nearest(terms: Column, nodes: Column, tok: Column, sent: Column, node_words: list[str], same_sentence: bool = True) -> Column:
+    """terms with the nearest node by (distance, leftmost, node); without one where no node outside the span is in reach."""
+    size = F.size(tok)
 
-def censored(found: DataFrame, tokens: DataFrame, near: int) -> DataFrame:
-    """Hits with flags for nodes that lie too near an edge of the row for a whole window."""
-    size = tokens.groupBy(*KEY).agg((F.max("idx") + 1).alias("n"))
-    return found.join(size, KEY).withColumns({"cens_left": F.col("node_idx") < near, "cens_right": F.col("n") - 1 - F.col("node_idx") < near}).drop("n")
+    def pair(t):
+        idx, n = t["idx"], t["n"]
+        end = idx + n - 1
+        own = F.get(sent, idx)
+        fits = lambda i: ((i < idx) | (i > end)) & ((F.get(sent, i) == own) if same_sentence else F.lit(True))
+        ranked = lambda found: F.array_min(F.transform(F.filter(found, fits), lambda i: F.struct(spans_gap(idx, n, i).alias("distance"), F.least(i, idx).alias("left"), i.alias("node"))))
+        around = F.filter(positions(F.greatest(idx - AROUND, F.lit(0)), F.least(end + AROUND, size - 1)), lambda i: F.get(tok, i).isin(list(node_words)))
+        best = F.when(F.size(nodes) <= AROUND, ranked(nodes)).otherwise(F.coalesce(ranked(around), ranked(nodes)))
+        whole = (F.get(sent, end) == own) if same_sentence else F.lit(True)
+        return F.struct(idx.alias("idx"), n.alias("n"), t["term"].alias("term"), F.when(whole, best).alias("best"))
+
+    return F.transform(terms, pair)
+
+
+def windows(ctx: DataFrame, nodes: list[str], field: dict[str, list[str]], near: int, band: int, same_sentence: bool = True) -> DataFrame:
+    """ctx rows that hold a node, with
 
+    tok, sent      tokens and their sentences (doc_id, line, source, lang, context as given)
+    nodes          places of nodes
+    terms          scanned terms, each with its nearest node (best is null where a boundary shuts all nodes off)
+    found          hits: of each term within near, the nearest, the first on ties
+    excluded       terms without an admissible node
+    ref            the row's reference node: the most frequent among hits, the first on ties, else the leftmost
+    far            terms beyond near and within band of ref, of types without a hit
+    near_tokens, band_tokens   tokens of ref's sentence within near, and from there to band
+    """
+    rows = X.words(X.with_word(ctx, nodes)).withColumn("nodes", node_indexes(F.col("tok"), nodes)).where(F.size("nodes") > 0)
+    rows = rows.withColumn("terms", X.let(term_scan(F.col("tok"), field), lambda t: nearest(t, F.col("nodes"), F.col("tok"), F.col("sent"), nodes, same_sentence)))
+    close = F.filter("terms", lambda t: t["best"]["distance"] <= near)
+
+    def collapse(c):
+        types = F.array_distinct(F.transform(c, lambda t: t["term"]))
+        entry = lambda t: F.struct(t["best"]["distance"].alias("distance"), t["best"]["left"].alias("left"), t["idx"].alias("idx"), t["n"].alias("n"), t["term"].alias("term"), t["best"]["node"].alias("node_idx"))
+        return F.transform(types, lambda k: F.array_min(F.transform(F.filter(c, lambda t: t["term"] == k), entry)))
+
+    rows = rows.withColumn("found", X.let(close, collapse))
+    votes = lambda wins: F.transform(wins, lambda w, i: F.struct(F.size(F.filter(wins, lambda x: x == w)).alias("n"), (-i).alias("first"), w.alias("node")))
+    ref = F.when(F.size("found") > 0, F.array_max(X.let(F.transform("found", lambda h: h["node_idx"]), votes))["node"]).otherwise(F.get("nodes", F.lit(0)))
+    rows = rows.withColumn("ref", ref)
+    at, sent = F.col("ref"), F.col("sent")
 
-def linear_flags(found: DataFrame, tokens: DataFrame, copulas: list[str], degrees: list[str], modals: list[str], negations: list[str]) -> DataFrame:
-    """Degree and negation in the three tokens before the term, modality within four, and the heuristic relation."""
-    met = found.join(tokens.select(*KEY, F.col("idx").alias("k"), F.col("tok").alias("t")), KEY)
-    gap = F.col("idx") - F.col("k")
-    between = (F.col("k") > F.least("idx", "node_idx")) & (F.col("k") < F.greatest("idx", "node_idx"))
-    flag = lambda when, words: F.max((when & F.col("t").isin(words)).cast("int"))
-    keys = [*KEY, "idx", "term", "form", "node_idx", "node", "distance", "side"]
-    out = met.groupBy(*keys).agg(flag(gap.between(1, 3), degrees).alias("graded"), flag(F.abs(gap).between(1, 4), modals).alias("modal"), flag(gap.between(1, 3), negations).alias("negated"), flag(between, copulas).alias("copula"))
-    relation = F.when(F.col("copula") == 1, "predicativa").when(F.col("distance") == 1, "atributiva").otherwise("indeterminada")
-    return out.withColumn("relation", relation).withColumn("nuclear", F.col("relation") != "indeterminada").drop("copula")
+    def in_band(t):
+        idx, n = t["idx"], t["n"]
+        gap = spans_gap(idx, n, at)
+        ok = ((at < idx) | (at > idx + n - 1)) & (gap > near) & (gap <= band) & ~F.exists("found", lambda h: h["term"] == t["term"])
+        return ok & (F.get(sent, idx) == F.get(sent, at)) & (F.get(sent, idx + n - 1) == F.get(sent, at)) if same_sentence else ok
+
+    def mass(low, high):
+        around = positions(F.greatest(at - high, F.lit(0)), F.least(at + high, F.size("tok") - 1))
+        return F.size(F.filter(around, lambda k: (F.abs(k - at) > low) & ((F.get(sent, k) == F.get(sent, at)) if same_sentence else F.lit(True))))
+
+    return rows.withColumns(
+        {
+            "excluded": F.size(F.filter("terms", lambda t: t["best"].isNull())),
+            "far": F.filter("terms", in_band),
+            "near_tokens": mass(0, near),
+            "band_tokens": mass(near, band),
+        }
+    )
+
+
+def offset(context: Column, tok: Column, idx: Column) -> Column:
+    """The character at which a token starts."""
+    zero = F.lit(0)
+    total = lambda parts: F.aggregate(parts, zero, lambda n, p: n + F.length(p))
+    return total(F.slice(T.gaps(context), 1, idx + 1)) + total(F.slice(tok, 1, idx))
+
+
+def pairs(rows: DataFrame) -> DataFrame:
+    """Every term with its nearest node, at any distance: (doc_id, line, idx, n, term, form, distance, node_idx, node, side)."""
+    out = rows.select("doc_id", "line", "tok", F.explode_outer("terms").alias("t")).where("t.best is not null")
+    return named(out.select("doc_id", "line", "tok", "t.idx", "t.n", "t.term", "t.best.distance", F.col("t.best.node").alias("node_idx"))).drop("tok")
+
+
+def named(h: DataFrame) -> DataFrame:
+    form = F.array_join(F.slice("tok", F.col("idx") + 1, F.col("n")), " ")
+    side = F.when(F.col("idx") < F.col("node_idx"), "esq").when(F.col("idx") > F.col("node_idx"), "dir").otherwise("—")
+    return h.withColumns({"form": form, "node": F.get("tok", F.col("node_idx")), "side": side})
+
+
+HIT = ["doc_id", "line", "idx", "n", "term", "form", "distance", "node_idx", "node", "side"]
+
+
+def hits(rows: DataFrame, *carried: str) -> DataFrame:
+    """One row for each hit (HIT), and the columns of windows that are named."""
+    keep = [c for c in carried if c not in ("doc_id", "line")]
+    out = rows.select("doc_id", "line", *dict.fromkeys(["tok", *keep]), F.explode_outer("found").alias("h")).where("h is not null")
+    out = named(out.select("*", "h.idx", "h.n", "h.term", "h.distance", "h.node_idx").drop("h"))
+    return out.select(*HIT, *keep)
+
+
+def hit_table(rows: DataFrame, field: dict[str, list[str]], near: int) -> DataFrame:
+    """hits with what the concordance keeps of them: canonical term, query pattern, offsets, compounds, nodes, censoring."""
+    h = hits(rows, "source", "lang", "context", "tok", "nodes", "ref")
+    first = None
+    for label, patterns in field.items():
+        first = F.when(F.col("canonical_term") == label, patterns[0]) if first is None else first.when(F.col("canonical_term") == label, patterns[0])
+    h = h.withColumn("canonical_term", T.canonical(F.col("form"), field))
+    return h.withColumns(
+        {
+            "query_pattern": F.coalesce(first, F.col("form")),
+            "off_node": offset(F.col("context"), F.col("tok"), F.col("node_idx")),
+            "off_term": offset(F.col("context"), F.col("tok"), F.col("idx")),
+            "compound": F.col("form").contains("-"),
+            "n_nodes": F.size("nodes"),
+            "cens_left": F.col("ref") < near,
+            "cens_right": F.size("tok") - 1 - F.col("ref") < near,
+        }
+    ).drop("nodes", "ref")
+
+
+def band_hits(rows: DataFrame) -> DataFrame:
+    """(term, n): terms of the band by type."""
+    return rows.select(F.explode_outer("far.term").alias("term")).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def token_mass(rows: DataFrame) -> DataFrame:
+    """(r1, r2, windows): tokens within near and in the band, over all contexts that hold a node, and how many those are."""
+    return rows.agg(F.coalesce(F.sum("near_tokens"), F.lit(0)).alias("r1"), F.coalesce(F.sum("band_tokens"), F.lit(0)).alias("r2"), F.count(F.lit(1)).alias("windows"))
+
+
+def recomputed(hit_rows: DataFrame, nodes: list[str]) -> DataFrame:
+    """hits (HIT, context) with distance2 and side2 computed anew from the context, the form and the node words alone."""
+    rows = X.words(hit_rows).withColumn("nodes", node_indexes(F.col("tok"), nodes))
+    places = F.filter(F.transform("tok", lambda t, i: i), lambda i: F.array_join(F.slice("tok", i + 1, F.col("n")), " ") == F.col("form"))
+    terms = F.transform(places, lambda i: F.struct(i.alias("idx"), F.col("n").alias("n"), F.col("term").alias("term")))
+    best = X.let(terms, lambda t: F.array_min(F.transform(F.filter(nearest(t, F.col("nodes"), F.col("tok"), F.col("sent"), nodes), lambda p: p["best"].isNotNull()), lambda p: F.struct(p["best"]["distance"].alias("distance"), p["best"]["left"].alias("left"), p["idx"].alias("idx"), p["best"]["node"].alias("node")))))
+    rows = rows.withColumn("again", best)
+    side = F.when(F.col("again.idx") < F.col("again.node"), "esq").otherwise("dir")
+    return rows.select(*hit_rows.columns, F.col("again.distance").alias("distance2"), side.alias("side2"))
+
+
+def manifest_hash(paths: DataFrame, column: str = "path") -> DataFrame:
+    """SHA-256 of the sorted distinct paths, one a line; the list is as long as the manifest that it stands for."""
+    return paths.agg(F.sha2(F.array_join(F.array_sort(F.collect_set(column)), "\n"), 256).alias("manifest_sha256"))
+
+
+def linear_flags(h: DataFrame, copulas: list[str] = fixed.COPULAS, degrees: list[str] = fixed.DEGREES, modals: list[str] = fixed.MODALS, negations: list[str] = fixed.NEGATIONS, nuclear: list[str] = fixed.NUCLEAR) -> DataFrame:
+    """Degree and negation in the three tokens before the term, modality within four, and the heuristic relation.
+
+    ``no`` and ``nos`` are never taken for negations: they also number works.
+    """
+    idx, node, tok = F.col("idx"), F.col("node_idx"), F.col("tok")
+    before = F.slice(tok, F.greatest(idx - 3, F.lit(0)) + 1, F.least(idx, F.lit(3)))
+    start = F.greatest(idx - 4, F.lit(0))
+    around = F.slice(tok, start + 1, idx + 5 - start)
+    low, high = F.least(idx, node), F.greatest(idx, node)
+    between = F.slice(tok, low + 2, high - low - 1)
+    words = lambda x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
+    relation = F.when(F.arrays_overlap(between, words(copulas)), "predicativa").when(high - low == 1, "atributiva").otherwise("indeterminada")
+    out = h.withColumns(
+        {
+            "graded": F.arrays_overlap(before, words(degrees)),
+            "modal": F.arrays_overlap(around, words(modals)),
+            "negated": F.arrays_overlap(before, words([w for w in negations if w not in ("no", "nos")])),
+            "relation": relation,
+        }
+    )
+    return out.withColumn("nuclear", F.col("relation").isin(list(nuclear)))

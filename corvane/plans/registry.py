@@ -1,397 +1,7 @@
-"""Queries over the driver's tables, with the DuckDB SQL that checks them."""
+"""All queries over the driver's tables, with the DuckDB SQL that checks them."""
 
-from __future__ import annotations
+from corvane.plans import bibliography, concordance, quality, search, statistics  # noqa: F401
+from corvane.plans.base import LINES, QUERIES, SQL
+from corvane.plans.concordance import entry
 
-from pyspark.sql import Window
-from pyspark.sql import functions as F
-
-from corvane.functions import text as T
-from corvane.operators import contexts as X
-from corvane.operators import dedupe as D
-from corvane.operators import near as N
-from corvane.operators import query as Q
-from corvane.operators import stats as S
-from corvane.plans import profile as P
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def keep(function):
-        QUERIES[name] = function
-        if sql:
-            SQL[name] = sql
-        return function
-
-    return keep
-
-
-def table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def ctx(spark, sf_dir):
-    return X.contexts(table(spark, sf_dir, "documents"))
-
-
-def toks(spark, sf_dir):
-    """Tokens of the contexts in which a node may stand."""
-    return X.token_rows(X.with_a_node(ctx(spark, sf_dir), P.NODES))
-
-
-def all_toks(spark, sf_dir):
-    """Tokens of all contexts, for what is about no node."""
-    return X.token_rows(ctx(spark, sf_dir))
-
-
-def near_terms(spark, sf_dir):
-    t = toks(spark, sf_dir)
-    return N.nearest(N.term_rows(t, P.FIELD, P.NODES), N.node_rows(t, P.NODES))
-
-
-def hits(spark, sf_dir):
-    return N.hits(near_terms(spark, sf_dir), P.NEAR)
-
-
-def flagged(spark, sf_dir):
-    return N.linear_flags(hits(spark, sf_dir), toks(spark, sf_dir), P.COPULAS, P.DEGREES, P.MODALS, P.NEGATIONS)
-
-
-def quoted(words) -> str:
-    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
-
-
-W, TOKEN, QTOKEN = T.WORD, *(x.replace("'", "''") for x in (T.TOKEN, T.QUERY_TOKEN))
-LINES = rf"""lines AS (SELECT doc_id, i - 1 AS line, source, lang, trim(regexp_replace(regexp_replace(regexp_replace(p[i], '[\n\r]', ' ', 'g'), '([{W}])-\s+([{W}])', '\1\2', 'g'), '\s+', ' ', 'g')) AS context
-  FROM (SELECT doc_id, source, lang, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL), unnest(range(1, len(p) + 1)) AS u(i)),
-ctx AS (SELECT * FROM lines WHERE context <> '')"""
-TOKENS = rf"""{LINES},
-sel AS (SELECT * FROM ctx WHERE regexp_matches(lower(context), '{"|".join(P.NODES)}')),
-parts AS (SELECT doc_id, line, regexp_extract_all(context, '{TOKEN}') AS t, regexp_split_to_array(context, '{TOKEN}') AS g FROM sel),
-raw AS (SELECT doc_id, line, i - 1 AS idx, lower(t[i]) AS tok, g[i] AS gap FROM parts, unnest(range(1, len(t) + 1)) AS u(i)),
-lagged AS (SELECT *, lag(tok) OVER (PARTITION BY doc_id, line ORDER BY idx) AS prior FROM raw),
-tok AS (SELECT doc_id, line, CAST(idx AS INTEGER) AS idx, tok, CAST(sum(CASE WHEN idx > 0 AND regexp_matches(gap, '[.!?;]+["''’”»)\]]*\s') AND coalesce(prior, '') NOT IN {quoted(T.ABBREVIATIONS)} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line ORDER BY idx) AS INTEGER) AS sent FROM lagged)"""
-ALL_TOKENS = TOKENS.replace(f""" WHERE regexp_matches(lower(context), '{"|".join(P.NODES)}')""", "")
-CASES = " ".join(f"WHEN {' OR '.join(f'''regexp_matches(tok, '{T.extract_pattern(p)}')''' for p in ps)} THEN '{k}'" for k, ps in P.FIELD.items())
-NEAR = rf"""{TOKENS},
-node AS (SELECT doc_id, line, sent, idx AS node_idx, tok AS node FROM tok WHERE tok IN {quoted(P.NODES)}),
-term AS (SELECT * FROM (SELECT doc_id, line, sent, idx, tok AS form, CASE {CASES} END AS term FROM tok WHERE tok NOT IN {quoted(P.NODES)}) WHERE term IS NOT NULL),
-ranked AS (SELECT t.*, node_idx, node, abs(idx - node_idx) AS distance, CASE WHEN idx < node_idx THEN 'esq' ELSE 'dir' END AS side,
-  row_number() OVER (PARTITION BY t.doc_id, t.line, idx ORDER BY abs(idx - node_idx), least(idx, node_idx), node_idx) AS r FROM term t JOIN node n ON t.doc_id = n.doc_id AND t.line = n.line AND t.sent = n.sent),
-near AS (SELECT doc_id, line, sent, idx, term, form, distance, node_idx, node, side FROM ranked WHERE r = 1)"""
-HITS = rf"""{NEAR},
-hits AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line, term ORDER BY distance, least(idx, node_idx), idx) AS r FROM near WHERE distance <= {P.NEAR}) WHERE r = 1)"""
-FLAGS = rf"""{HITS},
-flags AS (SELECT h.doc_id, h.line, h.idx, h.term, h.form, h.node_idx, h.node, h.distance, h.side,
-  max(CASE WHEN h.idx - t.idx BETWEEN 1 AND 3 AND tok IN {quoted(P.DEGREES)} THEN 1 ELSE 0 END) AS graded, max(CASE WHEN abs(h.idx - t.idx) BETWEEN 1 AND 4 AND tok IN {quoted(P.MODALS)} THEN 1 ELSE 0 END) AS modal,
-  max(CASE WHEN h.idx - t.idx BETWEEN 1 AND 3 AND tok IN {quoted(P.NEGATIONS)} THEN 1 ELSE 0 END) AS negated,
-  CASE WHEN max(CASE WHEN t.idx > least(h.idx, node_idx) AND t.idx < greatest(h.idx, node_idx) AND tok IN {quoted(P.COPULAS)} THEN 1 ELSE 0 END) = 1 THEN 'predicativa' WHEN h.distance = 1 THEN 'atributiva' ELSE 'indeterminada' END AS relation
-  FROM hits h JOIN tok t ON h.doc_id = t.doc_id AND h.line = t.line GROUP BY h.doc_id, h.line, h.idx, h.term, h.form, h.node_idx, h.node, h.distance, h.side),
-flagged AS (SELECT *, relation <> 'indeterminada' AS nuclear FROM flags)"""
-
-
-@register("term_frequency", f"WITH {HITS} SELECT term, count(*) AS n_hits, count(DISTINCT doc_id) AS n_docs, round(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (), 4) AS share FROM hits GROUP BY term")
-def term_frequency(spark, sf_dir):
-    """Hits and documents of each term of the field."""
-    counts = hits(spark, sf_dir).groupBy("term").agg(F.count(F.lit(1)).alias("n_hits"), F.countDistinct("doc_id").alias("n_docs"))
-    return counts.withColumn("share", F.round(F.col("n_hits") / F.sum("n_hits").over(Window.partitionBy()), 4))
-
-
-def entry(spark, sf_dir):
-    return term_frequency(spark, sf_dir)
-
-
-@register("t_normalise", f"WITH {LINES} SELECT doc_id, line, context FROM ctx")
-def t_normalise(spark, sf_dir):
-    return ctx(spark, sf_dir).select("doc_id", F.col("line").cast("long").alias("line"), "context")
-
-
-@register("t_tokens", f"WITH {TOKENS} SELECT doc_id, line, idx, tok, sent FROM tok")
-def t_tokens(spark, sf_dir):
-    return toks(spark, sf_dir).withColumn("line", F.col("line").cast("long"))
-
-
-@register("t_sentences", f"WITH {TOKENS} SELECT doc_id, line, max(sent) + 1 AS sentences, count(*) AS tokens FROM tok GROUP BY doc_id, line")
-def t_sentences(spark, sf_dir):
-    return toks(spark, sf_dir).groupBy("doc_id", F.col("line").cast("long").alias("line")).agg((F.max("sent") + 1).alias("sentences"), F.count(F.lit(1)).alias("tokens"))
-
-
-@register("t_tokens_all", f"WITH {ALL_TOKENS} SELECT doc_id, line, idx, tok, sent FROM tok")
-def t_tokens_all(spark, sf_dir):
-    return all_toks(spark, sf_dir).withColumn("line", F.col("line").cast("long"))
-
-
-@register("t_sentences_all", f"WITH {ALL_TOKENS} SELECT doc_id, line, max(sent) + 1 AS sentences, count(*) AS tokens FROM tok GROUP BY doc_id, line")
-def t_sentences_all(spark, sf_dir):
-    return all_toks(spark, sf_dir).groupBy("doc_id", F.col("line").cast("long").alias("line")).agg((F.max("sent") + 1).alias("sentences"), F.count(F.lit(1)).alias("tokens"))
-
-
-@register("t_doc_key", "SELECT doc_id, substr(sha256(lower(CAST(doc_id AS VARCHAR) || '.TXT')), 1, 16) AS doc_key, doc_id || '.TXT' AS base, 'file:///' || source || '/' || doc_id || '.TXT' AS link FROM documents")
-def t_doc_key(spark, sf_dir):
-    path = F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".TXT")))
-    return table(spark, sf_dir, "documents").select("doc_id", T.doc_key(path).alias("doc_key"), T.basename(path).alias("base"), T.hyperlink(F.lit(""), path).alias("link"))
-
-
-@register("t_fold", f"WITH {LINES} SELECT doc_id, line, trim(regexp_replace(translate(lower(context), '{T.PLAIN[0]}', '{T.PLAIN[1]}'), '[^a-z0-9]+', ' ', 'g')) AS plain FROM ctx")
-def t_fold(spark, sf_dir):
-    return ctx(spark, sf_dir).select("doc_id", F.col("line").cast("long").alias("line"), T.plain(F.col("context")).alias("plain"))
-
-
-@register("t_poles_axes", f"""WITH {HITS} SELECT term, CASE WHEN term IN {quoted(P.STABLE)} THEN 'E' WHEN term IN {quoted(P.VARIABLE)} THEN 'V' END AS pole,
-  CASE WHEN term IN {quoted(P.SYNCHRONIC)} AND term IN {quoted(P.DIACHRONIC)} THEN 'ambos' WHEN term IN {quoted(P.SYNCHRONIC)} THEN 'sincronico' WHEN term IN {quoted(P.DIACHRONIC)} THEN 'diacronico' ELSE 'ambos' END AS axis, count(*) AS n FROM hits GROUP BY ALL""")
-def t_poles_axes(spark, sf_dir):
-    marked = hits(spark, sf_dir).select("term", T.pole(F.col("term"), P.STABLE, P.VARIABLE).alias("pole"), T.axis(F.col("term"), P.SYNCHRONIC, P.DIACHRONIC).alias("axis"))
-    return marked.groupBy("term", "pole", "axis").agg(F.count(F.lit(1)).alias("n"))
-
-
-@register("t_html", r"""SELECT page_id, replace(replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS title,
-  lower(regexp_extract(html, '(10\.[0-9]{4,9}/[^\s"<>]+)', 1)) AS doi, regexp_extract(html, '\b((?:1[5-9]|20)[0-9]{2})\b', 1) AS year FROM pages""")
-def t_html(spark, sf_dir):
-    html = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", T.html_title(html).alias("title"), T.doi(html).alias("doi"), T.year(html).alias("year"))
-
-
-@register("f_domain", "SELECT doc_id, substr(sha256(doc_id || '.txt'), 1, 16) AS doc_key, CASE WHEN regexp_matches(source || '/' || doc_id || '.txt', '^src0/') THEN 'core' WHEN regexp_matches(source || '/' || doc_id || '.txt', '^src1[0-9]/') THEN 'edge' ELSE 'other' END AS domain FROM documents")
-def f_domain(spark, sf_dir):
-    return D.domains(table(spark, sf_dir, "documents"), {"^src0/": "core", "^src1[0-9]/": "edge"}, "other")
-
-
-@register("f_metatext", rf"WITH {LINES} SELECT doc_id, line, regexp_matches(lower(context), '^(?:table|figure|fig\.|tab\.)\s') AS caption, regexp_matches(lower(context), '\b(?:license|licensed|copyright|isbn|doi)\b') AS keyword FROM ctx")
-def f_metatext(spark, sf_dir):
-    low = F.lower("context")
-    return ctx(spark, sf_dir).select("doc_id", F.col("line").cast("long").alias("line"), low.rlike(r"^(?:table|figure|fig\.|tab\.)\s").alias("caption"), low.rlike(r"\b(?:license|licensed|copyright|isbn|doi)\b").alias("keyword"))
-
-
-@register("f_censored", f"WITH {HITS}, size AS (SELECT doc_id, line, max(idx) + 1 AS n FROM tok GROUP BY ALL) SELECT doc_id, line, term, node_idx < {P.NEAR} AS cens_left, n - 1 - node_idx < {P.NEAR} AS cens_right FROM hits JOIN size USING (doc_id, line)")
-def f_censored(spark, sf_dir):
-    return N.censored(hits(spark, sf_dir), toks(spark, sf_dir), P.NEAR).select("doc_id", F.col("line").cast("long").alias("line"), "term", "cens_left", "cens_right")
-
-
-def as_long_line(df):
-    return df.withColumn("line", F.col("line").cast("long"))
-
-
-@register("n_nearest", f"WITH {NEAR} SELECT * EXCLUDE (sent) FROM near")
-def n_nearest(spark, sf_dir):
-    return as_long_line(near_terms(spark, sf_dir)).drop("sent")
-
-
-@register("n_hits", f"WITH {HITS} SELECT * EXCLUDE (sent) FROM hits")
-def n_hits(spark, sf_dir):
-    return as_long_line(hits(spark, sf_dir)).drop("sent")
-
-
-@register("n_band", f"WITH {HITS} SELECT term, count(*) AS n FROM near n ANTI JOIN hits USING (doc_id, line, term) WHERE distance > {P.NEAR} AND distance <= {P.BAND} GROUP BY term")
-def n_band(spark, sf_dir):
-    pairs = near_terms(spark, sf_dir)
-    return N.band_hits(pairs, N.hits(pairs, P.NEAR), P.NEAR, P.BAND).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-
-
-MASS = f"""first AS (SELECT doc_id, line, arg_min(struct_pack(i := node_idx, s := sent), node_idx) AS f FROM node GROUP BY ALL),
-mass AS (SELECT sum(CASE WHEN abs(idx - f.i) BETWEEN 1 AND {P.NEAR} THEN 1 ELSE 0 END) AS r1, sum(CASE WHEN abs(idx - f.i) BETWEEN {P.NEAR + 1} AND {P.BAND} THEN 1 ELSE 0 END) AS r2 FROM tok JOIN first USING (doc_id, line) WHERE tok.sent = f.s)"""
-
-
-@register("n_token_mass", f"WITH {NEAR}, {MASS} SELECT CAST(r1 AS BIGINT) AS r1, CAST(r2 AS BIGINT) AS r2 FROM mass")
-def n_token_mass(spark, sf_dir):
-    t = toks(spark, sf_dir)
-    nodes = N.node_rows(t, P.NODES)
-    first = nodes.groupBy("doc_id", "line").agg(F.min(F.struct("node_idx", "sent")).alias("f"))
-    dist = F.abs(F.col("idx") - F.col("f.node_idx"))
-    met = t.join(first, ["doc_id", "line"]).where(F.col("sent") == F.col("f.sent"))
-    return met.agg(F.sum(dist.between(1, P.NEAR).cast("long")).alias("r1"), F.sum(dist.between(P.NEAR + 1, P.BAND).cast("long")).alias("r2"))
-
-
-@register("a_linear", f"WITH {FLAGS} SELECT * FROM flagged")
-def a_linear(spark, sf_dir):
-    return as_long_line(flagged(spark, sf_dir))
-
-
-@register("a_consensus", f"WITH {FLAGS}, j AS (SELECT f.*, context FROM flagged f JOIN ctx c ON f.doc_id = c.doc_id AND f.line = c.line) SELECT doc_id, line, term, avg(CAST(nuclear AS INTEGER)) OVER (PARTITION BY context) > 0.5 AS nuclear FROM j")
-def a_consensus(spark, sf_dir):
-    return as_long_line(D.consensus(flagged(spark, sf_dir), ctx(spark, sf_dir))).select("doc_id", "line", "term", "nuclear")
-
-
-@register("d_match_ids", f"WITH {HITS} SELECT doc_id, line, idx, term, 'M' || lpad(CAST(row_number() OVER (PARTITION BY doc_id, line ORDER BY idx, term, form) AS VARCHAR), 3, '0') AS match_id FROM hits")
-def d_match_ids(spark, sf_dir):
-    return as_long_line(D.match_ids(hits(spark, sf_dir))).select("doc_id", "line", "idx", "term", "match_id")
-
-
-@register("d_contexts", f"WITH {LINES} SELECT f.d AS doc_id, f.l AS line, context, times FROM (SELECT context, min(struct_pack(d := doc_id, l := line)) AS f, count(*) AS times FROM ctx GROUP BY context)")
-def d_contexts(spark, sf_dir):
-    return as_long_line(D.first_of_context(ctx(spark, sf_dir)))
-
-
-@register("d_rollup", f"WITH {FLAGS} SELECT doc_id, line, count(*) AS n_hits, string_agg(DISTINCT term, '; ' ORDER BY term) AS terms, string_agg(DISTINCT form, '; ' ORDER BY form) AS forms, bool_or(nuclear) AS any_nuclear FROM flagged GROUP BY doc_id, line")
-def d_rollup(spark, sf_dir):
-    return as_long_line(D.rollup(flagged(spark, sf_dir)))
-
-
-@register("d_work_term", f"WITH {HITS} SELECT doc_id, line, idx, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, term ORDER BY doc_id, line, idx, term) AS r FROM hits) WHERE r = 1")
-def d_work_term(spark, sf_dir):
-    return as_long_line(D.dedupe_mode(hits(spark, sf_dir), "obra_termo")).select("doc_id", "line", "idx", "term")
-
-
-@register("d_citations", f"""WITH {TOKENS}, g AS (SELECT DISTINCT doc_id, line, array_to_string(list(tok) OVER w, ' ') AS gram, count(*) OVER w AS k FROM tok WINDOW w AS (PARTITION BY doc_id, line ORDER BY idx ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
-s AS (SELECT gram, min(doc_id) AS a_doc FROM g WHERE k = 8 GROUP BY gram HAVING count(*) BETWEEN 2 AND 30)
-SELECT DISTINCT a_doc, doc_id AS b_doc FROM g JOIN s USING (gram) WHERE k = 8 AND doc_id <> a_doc""")
-def d_citations(spark, sf_dir):
-    return D.citation_pairs(toks(spark, sf_dir))
-
-
-@register("d_citations_all", f"""WITH {ALL_TOKENS}, g AS (SELECT DISTINCT doc_id, line, array_to_string(list(tok) OVER w, ' ') AS gram, count(*) OVER w AS k FROM tok WINDOW w AS (PARTITION BY doc_id, line ORDER BY idx ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
-s AS (SELECT gram, min(doc_id) AS a_doc FROM g WHERE k = 8 GROUP BY gram HAVING count(*) BETWEEN 2 AND 30)
-SELECT DISTINCT a_doc, doc_id AS b_doc FROM g JOIN s USING (gram) WHERE k = 8 AND doc_id <> a_doc""")
-def d_citations_all(spark, sf_dir):
-    return D.citation_pairs(all_toks(spark, sf_dir))
-
-
-@register("g_cooccurrence", f"WITH {HITS} SELECT a.term AS term_a, b.term AS term_b, count(*) AS n FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.line = b.line AND a.term < b.term GROUP BY ALL ORDER BY n DESC, term_a, term_b LIMIT 200")
-def g_cooccurrence(spark, sf_dir):
-    sets = hits(spark, sf_dir).groupBy("doc_id", "line").agg(F.array_sort(F.collect_set("term")).alias("t"))
-    pairs = sets.select(F.posexplode("t").alias("i", "term_a"), "t").select("term_a", F.explode(F.slice(F.col("t"), F.col("i") + 2, F.size("t"))).alias("term_b"))
-    return pairs.groupBy("term_a", "term_b").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term_a", "term_b").limit(200)
-
-
-@register("g_crosstab", f"WITH {FLAGS} SELECT relation, CASE WHEN term IN {quoted(P.STABLE)} THEN 'E' ELSE 'V' END AS pole, count(*) AS n FROM flagged GROUP BY ALL")
-def g_crosstab(spark, sf_dir):
-    return flagged(spark, sf_dir).groupBy("relation", T.pole(F.col("term"), P.STABLE, P.VARIABLE).alias("pole")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@register("g_forms", f"WITH {HITS} SELECT term, form, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM hits GROUP BY ALL")
-def g_forms(spark, sf_dir):
-    return hits(spark, sf_dir).groupBy("term", "form").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
-
-
-@register("g_distance", f"WITH {HITS} SELECT side, distance, count(*) AS n FROM hits GROUP BY ALL")
-def g_distance(spark, sf_dir):
-    return hits(spark, sf_dir).groupBy("side", "distance").agg(F.count(F.lit(1)).alias("n"))
-
-
-@register("g_copresence", f"WITH {HITS}, d AS (SELECT DISTINCT doc_id, term FROM hits) SELECT a.term AS term_a, b.term AS term_b, count(*) AS n FROM d a JOIN d b USING (doc_id) GROUP BY ALL")
-def g_copresence(spark, sf_dir):
-    d = hits(spark, sf_dir).select("doc_id", "term").distinct()
-    return d.select("doc_id", F.col("term").alias("term_a")).join(d.select("doc_id", F.col("term").alias("term_b")), "doc_id").groupBy("term_a", "term_b").agg(F.count(F.lit(1)).alias("n"))
-
-
-@register("g_flow", f"WITH {HITS} SELECT form AS origin, CAST(doc_id AS VARCHAR) AS target, count(*) AS n FROM hits GROUP BY ALL ORDER BY n DESC, origin, target LIMIT 80")
-def g_flow(spark, sf_dir):
-    return hits(spark, sf_dir).groupBy(F.col("form").alias("origin"), F.col("doc_id").cast("string").alias("target")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "origin", "target").limit(80)
-
-
-@register("g_summary", f"WITH {FLAGS} SELECT count(*) AS hits, count(*) FILTER (nuclear) AS nuclear, count(DISTINCT (doc_id, line)) AS contexts, count(DISTINCT doc_id) AS docs, round(avg(distance), 4) AS mean_distance, quantile_cont(distance, 0.5) AS median_distance FROM flagged")
-def g_summary(spark, sf_dir):
-    return flagged(spark, sf_dir).agg(F.count(F.lit(1)).alias("hits"), F.sum(F.col("nuclear").cast("long")).alias("nuclear"), F.countDistinct("doc_id", "line").alias("contexts"), F.countDistinct("doc_id").alias("docs"), F.round(F.avg("distance"), 4).alias("mean_distance"), F.percentile("distance", 0.5).alias("median_distance"))
-
-
-ASSOC = """c AS (SELECT term, sum(a) AS a, sum(b) AS b FROM (SELECT term, count(*) AS a, 0 AS b FROM hits GROUP BY term UNION ALL SELECT term, 0, count(*) FROM near ANTI JOIN hits USING (doc_id, line, term) WHERE distance > 4 AND distance <= 12 GROUP BY term) GROUP BY term),
-v AS (SELECT term, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(r1 AS DOUBLE) AS r1, CAST(r2 AS DOUBLE) AS r2, r1 + r2 AS n, a + b AS k FROM c, mass)"""
-
-
-@register("m_association", f"""WITH {HITS}, {MASS}, {ASSOC} SELECT term, CAST(a AS BIGINT) AS o11, CAST(b AS BIGINT) AS o12, round(r1 * k / n, 3) AS e11,
-  round(CASE WHEN a > 0 THEN log2(a / (r1 * k / n)) END, 3) AS mi, round(CASE WHEN a > 0 THEN 14 + log2(2 * a / (r1 + k)) END, 3) AS log_dice, round(a / r1 - b / r2, 5) AS delta_p,
-  round(((a + .5) * (r2 - b + .5)) / ((b + .5) * (r1 - a + .5)), 3) AS odds FROM v""")
-def m_association(spark, sf_dir):
-    pairs = near_terms(spark, sf_dir)
-    found = N.hits(pairs, P.NEAR)
-    counts = found.select("term", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(N.band_hits(pairs, found, P.NEAR, P.BAND).select("term", F.lit(0).alias("a"), F.lit(1).alias("b")))
-    both = counts.groupBy("term").agg(F.sum("a").alias("o11"), F.sum("b").alias("o12")).join(F.broadcast(n_token_mass(spark, sf_dir)), F.lit(True))
-    m = S.association(F.col("o11"), F.col("o12"), F.col("r1"), F.col("r2"))
-    return both.select("term", "o11", "o12", *[m[c].alias(c) for c in ("e11", "mi", "log_dice", "delta_p", "odds")])
-
-
-@register("m_diversity", "WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), p AS (SELECT lang, n / sum(n) OVER (PARTITION BY lang) AS p FROM c) SELECT lang, count(*) AS types, round(sum(-p * ln(p)), 4) AS shannon, round(CASE WHEN count(*) > 1 THEN sum(-p * ln(p)) / ln(count(*)) END, 4) AS pielou, round(1 / sum(p * p), 4) AS inv_simpson FROM p GROUP BY lang")
-def m_diversity(spark, sf_dir):
-    return S.diversity(table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), ["lang"])
-
-
-@register("m_dispersion", """WITH c AS (SELECT event_type AS term, user_id % 20 AS part, count(*) AS n FROM events GROUP BY ALL), parts AS (SELECT user_id % 20 AS part, count(*) AS size FROM events GROUP BY ALL),
-g AS (SELECT term, p.part, coalesce(n, 0) AS n, size / sum(size) OVER (PARTITION BY term) AS share FROM (SELECT DISTINCT term FROM c) t CROSS JOIN parts p LEFT JOIN c USING (term, part))
-SELECT term, round(sum(abs(n / s - share)) / 2, 4) AS dp, round(1 - stddev_pop(n) / avg(n) / sqrt(count(*) - 1), 4) AS juilland FROM (SELECT *, sum(n) OVER (PARTITION BY term) AS s FROM g) GROUP BY term""")
-def m_dispersion(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("term"), (F.col("user_id") % 20).alias("part"))
-    return S.dispersion(e.groupBy("term", "part").agg(F.count(F.lit(1)).alias("n")), e.groupBy("part").agg(F.count(F.lit(1)).alias("size")))
-
-
-@register("m_chi_square", """WITH c AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS n FROM lineitem GROUP BY ALL), g AS (SELECT x.a, y.b, x.ra * y.cb / CAST(t AS DOUBLE) AS e, coalesce(n, 0) AS n, t FROM (SELECT a, sum(n) AS ra FROM c GROUP BY a) x CROSS JOIN (SELECT b, sum(n) AS cb FROM c GROUP BY b) y CROSS JOIN (SELECT sum(n) AS t FROM c) LEFT JOIN c USING (a, b))
-SELECT round(sum((n - e) ** 2 / e), 4) AS chi2, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS df, round(sqrt(sum((n - e) ** 2 / e) / any_value(t) / (least(count(DISTINCT a), count(DISTINCT b)) - 1)), 4) AS cramers_v FROM g""")
-def m_chi_square(spark, sf_dir):
-    c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    return S.chi_square(c, "a", "b")
-
-
-@register("m_log_ratio", "WITH c AS (SELECT toxic, count(*) FILTER (quality = 1) AS o, count(*) AS n FROM labels GROUP BY toxic) SELECT round(log2(((a.o + .5) / (a.n + .5)) / ((b.o + .5) / (b.n + .5))), 4) AS log_ratio FROM c a, c b WHERE a.toxic = 1 AND b.toxic = 0")
-def m_log_ratio(spark, sf_dir):
-    on = lambda t, q=None: F.sum(((F.col("toxic") == t) & (F.lit(True) if q is None else F.col("quality") == q)).cast("int"))
-    return table(spark, sf_dir, "labels").agg(S.log_ratio(on(1, 1), on(1), on(0, 1), on(0)).alias("log_ratio"))
-
-
-@register("m_richness", f"WITH {TOKENS}, c AS (SELECT doc_id, tok, count(*) AS n FROM tok GROUP BY ALL), v AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS types, count(*) FILTER (n = 1) AS hapax FROM c GROUP BY doc_id) SELECT *, round(types / tokens, 4) AS ttr, round(CASE WHEN tokens > 1 THEN ln(types) / ln(tokens) END, 4) AS herdan, round(types / sqrt(tokens), 4) AS guiraud FROM v")
-def m_richness(spark, sf_dir):
-    return S.richness(toks(spark, sf_dir).groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("n")), ["doc_id"])
-
-
-@register("m_richness_all", f"WITH {ALL_TOKENS}, c AS (SELECT doc_id, tok, count(*) AS n FROM tok GROUP BY ALL), v AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS types, count(*) FILTER (n = 1) AS hapax FROM c GROUP BY doc_id) SELECT *, round(types / tokens, 4) AS ttr, round(CASE WHEN tokens > 1 THEN ln(types) / ln(tokens) END, 4) AS herdan, round(types / sqrt(tokens), 4) AS guiraud FROM v")
-def m_richness_all(spark, sf_dir):
-    return S.richness(all_toks(spark, sf_dir).groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("n")), ["doc_id"])
-
-
-@register("m_bayes", "WITH c AS (SELECT event_type, count(*) FILTER (user_id % 2 = 0) AS k, count(*) AS n FROM events GROUP BY event_type), l AS (SELECT *, -ln(n + 1) - (lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)) + n * ln(2) AS b FROM c) SELECT event_type, k, n, CASE WHEN b > 700 THEN CAST('inf' AS DOUBLE) ELSE round(round(exp(greatest(b, -700)), 4), 6) END AS bayes FROM l")
-def m_bayes(spark, sf_dir):
-    c = table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum((F.col("user_id") % 2 == 0).cast("long")).alias("k"), F.count(F.lit(1)).alias("n"))
-    return S.kernel(c, "bayes", S.bayes_factor, "k", "n")
-
-
-@register("m_permutation")
-def m_permutation(spark, sf_dir):
-    """Difference in mean length, in hundreds of characters, between toxic and other documents."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    on = lambda t: F.sum((F.col("toxic") == t).cast("long"))
-    counts = docs.groupBy(F.floor(F.col("n_chars") / 100).alias("value")).agg(on(1).alias("toxic"), on(0).alias("other"))
-    difference, p = S.permutation_test(counts, "value", "toxic", "other")
-    return spark.createDataFrame([(difference, p)], "difference double, p double")
-
-
-@register("m_monte_carlo")
-def m_monte_carlo(spark, sf_dir):
-    """Quality against toxicity, from their contingency table."""
-    n = {(r.toxic, r.quality): r["count"] for r in table(spark, sf_dir, "labels").where("toxic in (0, 1) and quality in (0, 1)").groupBy("toxic", "quality").count().collect()}
-    chi2, p, draws = S.monte_carlo([[n.get((i, j), 0) for j in (0, 1)] for i in (0, 1)])
-    return spark.createDataFrame([(chi2, p, draws)], "chi2 double, p double, draws long")
-
-
-@register("m_tests")
-def m_tests(spark, sf_dir):
-    """Exact binomial tests by source, adjusted within each language."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    c = docs.groupBy("lang", F.col("source").alias("name")).agg(F.sum("quality").cast("long").alias("k"), F.count(F.lit(1)).alias("n"))
-    return S.adjusted(S.kernel(c, "p", lambda k, n: S.binomial_two_sided(int(k), int(n), 0.8), "k", "n"), ["lang"])
-
-
-SEARCHES = {"q_near": "the NEAR/3 th*", "q_or_not": "(thing OR nicht) AND NOT the", "q_nor": "the NOR of", "q_phrase": '"of the" OR "in the"'}
-
-
-def run_search(name):
-    def run(spark, sf_dir):
-        return Q.search(ctx(spark, sf_dir), SEARCHES[name]).select("doc_id", F.col("line").cast("long").alias("line"))
-
-    return run
-
-
-QT = rf"""{LINES}, qp AS (SELECT doc_id, line, regexp_extract_all(context, '{QTOKEN}') AS t FROM ctx), qt AS (SELECT doc_id, line, i, lower(t[i]) AS tok FROM qp, unnest(range(1, len(t) + 1)) AS u(i)),
-ql AS (SELECT doc_id, line, bool_or(tok = 'the') AS has_the, bool_or(tok = 'of') AS has_of, bool_or(tok IN ('thing', 'nicht')) AS has_either FROM qt GROUP BY ALL)"""
-WILD = T.query_pattern("th*")
-register("q_near", f"WITH {QT} SELECT DISTINCT doc_id, line FROM qt a JOIN qt b USING (doc_id, line) WHERE a.tok = 'the' AND regexp_matches(b.tok, '{WILD}') AND NOT (length(b.tok) > 22 OR (length(b.tok) >= 10 AND regexp_matches(b.tok, '(?:the|and|of)$'))) AND abs(a.i - b.i) <= 3")(run_search("q_near"))
-register("q_or_not", f"WITH {QT} SELECT doc_id, line FROM ql WHERE has_either AND NOT has_the")(run_search("q_or_not"))
-register("q_nor", f"WITH {QT} SELECT c.doc_id, c.line FROM ctx c LEFT JOIN ql USING (doc_id, line) WHERE NOT coalesce(has_the OR has_of, false)")(run_search("q_nor"))
-register("q_phrase", f"WITH {QT} SELECT DISTINCT doc_id, line FROM qt a JOIN qt b USING (doc_id, line) WHERE b.i = a.i + 1 AND a.tok IN ('of', 'in') AND b.tok = 'the'")(run_search("q_phrase"))
-
-
-@register("r_titles", r"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS t, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages)
-SELECT page_id, host, upper(substr(t, 1, 1)) || lower(substr(t, 2)) AS title, row_number() OVER (PARTITION BY host ORDER BY t, page_id) AS place FROM t""")
-def r_titles(spark, sf_dir):
-    """Titles in sentence case, and their place in the alphabet of their host."""
-    raw = F.trim(F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
-    t = table(spark, sf_dir, "pages").select("page_id", raw.alias("t"), F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"))
-    place = F.row_number().over(Window.partitionBy("host").orderBy("t", "page_id")).cast("long")
-    return t.select("page_id", "host", T.sentence_case(F.col("t")).alias("title"), place.alias("place"))
+__all__ = ["LINES", "QUERIES", "SQL", "entry"]
