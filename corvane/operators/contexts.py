@@ -14,6 +14,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once: filters on them stay above, where Spark would copy their text below."""
+    struct = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.explode_outer(F.array(struct)).alias("_held")).select(*df.columns, *[F.col(f"_held.{n}").alias(n) for n in columns])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its scan has fewer parts than that, as with one small file; no shuffle otherwise."""
     if df.isStreaming:
@@ -40,7 +46,7 @@ def with_word(ctx: DataFrame, words: list[str]) -> DataFrame:
 
 def words(ctx: DataFrame, pattern: str = T.TOKEN, abbreviations: list[str] = fixed.ABBREVIATIONS) -> DataFrame:
     """ctx with tok, the lowered tokens, and sent, the number of each one's sentence."""
-    own = ctx.withColumn("sents", T.sentences(F.col("context"), pattern, abbreviations))
+    own = held(ctx, sents=T.sentences(F.col("context"), pattern, abbreviations))
     return own.withColumn("tok", F.flatten("sents")).withColumn("sent", F.flatten(F.transform("sents", lambda s, i: F.array_repeat(i, F.size(s))))).drop("sents")
 
 

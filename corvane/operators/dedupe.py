@@ -79,9 +79,12 @@ def consensus(found: DataFrame, path: Column | None = None) -> DataFrame:
 
 
 def grams(rows: DataFrame, size: int = 8) -> DataFrame:
-    """(ROW, gram): the distinct grams of each row's tokens, cut from the array in the row."""
+    """(ROW, gram): the distinct grams of each row's tokens, cut from the array in the row.
+
+    A gram travels as two 64-bit hashes with different seeds, not as its words.
+    """
     starts = F.when(F.size("tok") >= size, F.sequence(F.lit(1), F.greatest(F.size("tok") - (size - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    own = F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("tok", i, size), " ")))
+    own = F.array_distinct(F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice("tok", i, size)).alias("g1"), F.xxhash64(F.lit(1), F.slice("tok", i, size)).alias("g2"))))
     return rows.select(*ROW, F.explode_outer(own).alias("gram")).where("gram is not null")
 
 
