@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators import contexts as X
 from corvane.operators.tables import components, numbered
 
 ROW = ["doc_id", "line"]
@@ -84,7 +85,8 @@ def grams(rows: DataFrame, size: int = 8) -> DataFrame:
     A gram travels as two 64-bit hashes with different seeds, not as its words.
     """
     starts = F.when(F.size("tok") >= size, F.sequence(F.lit(1), F.greatest(F.size("tok") - (size - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    own = F.array_distinct(F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice("tok", i, size)).alias("g1"), F.xxhash64(F.lit(1), F.slice("tok", i, size)).alias("g2"))))
+    pair = lambda part: F.struct(F.xxhash64(part).alias("g1"), F.xxhash64(F.lit(1), part).alias("g2"))
+    own = X.let(F.transform("tok", lambda t: F.xxhash64(t)), lambda h: F.array_distinct(F.transform(starts, lambda i: X.let(F.slice(h, i, size), pair))))
     return rows.select(*ROW, F.explode_outer(own).alias("gram")).where("gram is not null")
 
 
