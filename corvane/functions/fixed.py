@@ -98,3 +98,8 @@ OTHER_HEADS = """melody melodies melodic rhythm rhythms rhythmic rhythmical harm
 dynamics instrument instruments voice voices colour colours color colors lyric lyrics text texts theme themes thematic tempo tempi
 register registers structure structures flavor flavors flavour flavours space spaces imagery notation meter meters metre metres tone
 tones pattern patterns gesture gestures effect effects perception perceptions time development developments""".split()
+
+# Short words that an excerpt may end in before it is cleaned, and function words that are peeled off its end.
+SHORT_WORDS = """a an the or and of in on to for by as is it at no not so if we he she be do am are was were its his her their our your
+this that these those with from into onto over under than then also only both such per via vs etc um uma o a os as de do da dos das em
+no na nos nas e ou que se""".split()
