@@ -120,7 +120,7 @@ class SpanHash:
         return mix(value + mix(np.atleast_1d(length).astype(np.uint64) + np.uint64(1)))
 
 
-def index_words(texts: pa.Array | list[bytes], lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def index_array(texts: pa.Array | list[bytes], lower: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of texts: the distinct words, the index of every word, and where each text starts.
 
     lower maps A-Z, and nothing else, to lower case.  A null text is empty.
@@ -133,17 +133,23 @@ def index_words(texts: pa.Array | list[bytes], lower: bool = False) -> tuple[lis
     index = np.asarray(coded.indices).astype(np.int32, copy=False)
     ends = np.asarray(parts.offsets).astype(np.int64)
     ends = ends - ends[0]
-    words = coded.dictionary.cast(pa.binary()).to_pylist()
-    if b"" in words:  # stands for white space at an end of a text
-        empty = words.index(b"")
+    words = coded.dictionary
+    empty = pc.index(words, "").as_py()
+    if empty >= 0:  # stands for white space at an end of a text
         real = index != empty
         ends = np.concatenate([[0], np.cumsum(real)])[ends]
         index = index[real]
         index -= index > empty
-        words.pop(empty)
+        words = pa.concat_arrays([words.slice(0, empty), words.slice(empty + 1)])
     return words, index, ends
 
 
+def index_words(texts: pa.Array | list[bytes], lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """As index_array, with the words in UTF-8."""
+    words, index, ends = index_array(texts, lower)
+    return words.cast(pa.binary()).to_pylist(), index, ends
+
+
 def hash_words(words: list[bytes], seed: int = 0) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 

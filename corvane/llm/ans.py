@@ -154,17 +154,30 @@ class Coder:
 
 
 def token_rows(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, n, ids): ids by the tokenizers library with end_id last, compressed for transport."""
+    """(doc_id, n, ids): ids by the tokenizers library with end_id last, compressed for transport.
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, ends = bpe.load(path).library_texts(batch.column("text"))
-        pack = zstandard.ZstdCompressor(level=1)
-        rows = [np.append(ids[a:b], np.uint32(end_id)) for a, b in zip(ends, ends[1:])]
-        wide = "<u2" if all(int(r.max()) < 65536 for r in rows) else "<u4"
-        sent = [wide[-1].encode() + pack.compress(r.astype(wide).tobytes()) for r in rows]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(r) for r in rows], pa.int64()), pa.array(sent, pa.binary())], ["doc_id", "n", "ids"])
-
-    return C.map_arrow(C.ids_and_texts(docs), step, "doc_id long, n long, ids binary", most=SLICE)
+    A row with n = -1 for each task holds how often each id occurs in its rows.
+    """
+    names = ["doc_id", "n", "ids"]
+
+    def run(batches):
+        pack, counts = zstandard.ZstdCompressor(level=1), np.zeros(0, np.int64)
+        for batch in C.text_slices(batches, most=SLICE):
+            ids, ends = bpe.load(path).library_texts(batch.column("text"))
+            ids = np.insert(ids, ends[1:], np.uint32(end_id))
+            ends = ends + np.arange(len(ends))
+            own = np.bincount(ids, minlength=len(counts))
+            own[: len(counts)] += counts
+            counts = own
+            wide = "<u2" if int(ids.max(initial=0)) < 65536 else "<u4"
+            raw, mark, at = memoryview(ids.astype(wide).tobytes()), wide[-1].encode(), (ends * int(wide[-1])).tolist()
+            sent = [mark + pack.compress(raw[a:b]) for a, b in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.array(sent, pa.binary())], names)
+        if len(counts):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.array([pack.compress(counts.astype("<u8").tobytes())], pa.binary())], names)
+        C.trim()
+
+    return C.ids_and_texts(docs).mapInArrow(run, "doc_id long, n long, ids binary")
 
 
 def unpacked(raw: bytes) -> np.ndarray:
@@ -172,24 +185,15 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 
 def count_ids(batches):
-    """(id, n) of a partition, counted about CHUNK ids at a time."""
-    counts, held, size = np.zeros(0, np.int64), [], 0
-
-    def add():
-        own = np.bincount(np.concatenate(held), minlength=len(counts))
-        own[: len(counts)] += counts
-        return own
-
+    """(id, n) of the counts of tasks."""
+    total = np.zeros(0, np.int64)
     for batch in batches:
         for raw in batch.column("ids").to_pylist():
-            held.append(unpacked(raw))
-            size += len(held[-1])
-            if size >= CHUNK:
-                counts, held, size = add(), [], 0
-    if held:
-        counts = add()
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["id", "n"])
+            own = np.frombuffer(zstandard.decompress(raw), "<u8").astype(np.int64)
+            total = np.pad(total, (0, max(0, len(own) - len(total))))
+            total[: len(own)] += own
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
 
 CHUNK_SCHEMA = "part int, chunk int, start long, n_ids long, doc_ids array<long>, lengths array<long>, blocks array<binary>"
@@ -206,7 +210,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
     spark = docs.sparkSession
     rows = C.settle(token_rows(docs, path or bpe.default_path(), end_id), "ids")
     # Bounded by the vocabulary: one number for each id that occurs.
-    counted = rows.select("ids").mapInArrow(count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counted = rows.where("n < 0").select("ids").mapInArrow(count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     at, n = (np.asarray(counted.column(c), np.int64) for c in ("id", "n"))
     counts = np.zeros(int(at.max(initial=-1)) + 1, np.int64)
     counts[at] = n
@@ -239,7 +243,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
         if ids:
             yield flush()
 
-    ordered = rows.select("doc_id", "ids").repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    ordered = rows.where("n >= 0").select("doc_id", "ids").repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     ordered.mapInArrow(encode, CHUNK_SCHEMA).write.parquet(f"{folder}/chunks")
     known = np.flatnonzero(freq)
     spark.createDataFrame([(VERSION, end_id, BITS, known.tolist(), freq[known].tolist())], TABLE_SCHEMA).coalesce(1).write.parquet(f"{folder}/table")

@@ -268,15 +268,14 @@ class WordBPE:
             known[w] = own[w]
         return out
 
-    def parts(self, words: list[str], encode) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, one after the other, and where each starts; encode gives those of distinct units.
+    def parts(self, whole: pa.Array, encode) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words (whole), one after the other, and where each starts; encode gives those of distinct units.
 
         ASCII punctuation around a core that starts and ends with a letter or
         digit is a piece of its own, so cores and punctuation are encoded apart.
         """
-        if not self.splits or not words:
-            return encode(words)
-        whole = pa.array(words, pa.string())
+        if not self.splits or not len(whole):
+            return encode(whole.to_pylist())
         left = pc.ascii_ltrim(whole, AROUND)
         core = pc.ascii_rtrim(left, AROUND)
         apart = pc.match_substring_regex(core, CORE)
@@ -289,17 +288,17 @@ class WordBPE:
         coded = core.dictionary_encode()
         units = coded.dictionary.to_pylist()
         marks = {"": 0}
-        part = np.zeros((len(words), 3), np.int64)
+        part = np.zeros((len(whole), 3), np.int64)
         part[:, 1] = np.asarray(coded.indices)
         for column, size in ((0, before), (2, after)):
             at = np.flatnonzero(size)
-            cuts = zip(at.tolist(), size[at].tolist())
-            found = [words[i][:k] for i, k in cuts] if column == 0 else [words[i][-k:] for i, k in cuts]
+            cuts = zip(whole.take(pa.array(at)).to_pylist(), size[at].tolist())
+            found = [w[:k] for w, k in cuts] if column == 0 else [w[-k:] for w, k in cuts]
             part[at, column] = [marks.setdefault(x, len(marks)) for x in found]
         part[:, ::2] += len(units)
         ids, start = encode([*units, *marks])
         ids, size = C.gather(ids, start, part.ravel())
-        ends = np.zeros(len(words) + 1, np.int64)
+        ends = np.zeros(len(whole) + 1, np.int64)
         np.cumsum(size.reshape(-1, 3).sum(1), out=ends[1:])
         return ids, ends
 
@@ -312,8 +311,8 @@ def flat_lists(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def gather_words(texts, encode) -> tuple[np.ndarray, np.ndarray]:
     """encode gives the ids of distinct words, one after the other, and where each starts."""
-    words, index, ends = C.index_words(texts)
-    ids, start = encode([w.decode() for w in words])
+    words, index, ends = C.index_array(texts)
+    ids, start = encode(words)
     ids, size = C.gather(ids, start, index)
     by_word = np.zeros(len(index) + 1, np.int64)
     np.cumsum(size, out=by_word[1:])
