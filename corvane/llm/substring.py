@@ -14,10 +14,10 @@ number of windows).
    independent 64-bit hashes compares.
 4. Repeated classes and windows are the edges that are left.  Their ends give the
    nodes, with the numbers of edges in and out.  Through a node that has one of
-   each, the edge that ends there and the one that starts there are linked if their
-   source coordinates follow one another, which verifies that their words stand side
-   by side; linked edges compact into paths by joins that double the length reached
-   (pointer jumping).
+   each, a join links the edge that ends there and the one that starts there, if
+   their source coordinates follow one another, which verifies that their words stand
+   side by side.  As linked edges lie end to end in one source, paths are compacted
+   in the order of source coordinates: a path starts where an edge has no link.
 5. An edge that has an earlier source is repeated.  A document's edges of one path
    that stand as they do in the path are one long span; spans go back to the texts,
    where the covered words are removed.
@@ -35,7 +35,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import _common as C
@@ -43,6 +43,8 @@ from corvane.llm import _common as C
 WINDOW = 20
 ANCHOR_WORDS = 6
 PLACE_BITS = 27
+#: An edge by its source coordinate; kind is 0 for a class of runs, 1 for a single window.
+EDGE = ["doc_id", "start", "n", "kind"]
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -125,55 +127,51 @@ def opened(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
 
 
 def overlaps(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, start, n, head, tail): hashes of the nodes that runs (doc_id, runs array<struct<start, n>>) start and end at."""
+    """(edge, head, tail): hashes of the nodes that runs (doc_id, runs array<struct<start, n, kind>>) start and end at."""
 
     def step(batch):
         words, index, ends = C.index_words(batch.column("text"))
         lists = batch.column("runs")
         size = np.asarray(pc.list_value_length(lists), np.int64)
         flat = lists.flatten()
-        start, n = (np.asarray(flat.field(c), np.int64) for c in ("start", "n"))
+        start, n, kind = (np.asarray(flat.field(c), np.int64) for c in ("start", "n", "kind"))
         doc = np.repeat(np.arange(len(size)), size)
         at = start + ends[:-1][doc]
         ok = at + n + window - 1 <= ends[1:][doc]  # a repeated doc_id may name a shorter text
-        doc, start, n, at = doc[ok], start[ok], n[ok], at[ok]
+        doc, start, n, kind, at = doc[ok], start[ok], n[ok], kind[ok], at[ok]
         hashes = C.SpanHash(words, index, 5)
         head, tail = hashes.spans(at, window - 1), hashes.spans(at + n, window - 1)
         ids = np.asarray(batch.column("doc_id"), np.int64)[doc]
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(C.signed(head)), pa.array(C.signed(tail))], ["doc_id", "start", "n", "head", "tail"])
+        return pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(x.astype(np.int32)) for x in (start, n, kind)), pa.array(C.signed(head)), pa.array(C.signed(tail))], [*EDGE, "head", "tail"])
 
-    return C.map_arrow(docs.join(runs, "doc_id"), step, "doc_id long, start int, n int, head long, tail long")
+    return C.map_arrow(docs.join(runs, "doc_id"), step, "doc_id long, start int, n int, kind int, head long, tail long")
 
 
 def compacted(docs: DataFrame, edges: DataFrame, window: int) -> DataFrame:
-    """(edge, path, offset): of the edges (doc_id, start, n) that are not alone, their nonbranching path's first edge, and the windows before them in it."""
-    lists = edges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    """edges (EDGE) with path, the start of their nonbranching path in the source: edges of one kind do not overlap there."""
+    lists = edges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "kind")).alias("runs"))
     ends = C.settle(overlaps(docs, lists, window), "overlaps")
-    edge = F.struct("doc_id", "start", "n")
+    edge = F.struct(*EDGE)
     one = lambda node, name: ends.groupBy(F.col(node).alias("node")).agg(F.count(F.lit(1)).alias("degree"), F.min(edge).alias(name)).where("degree = 1").drop("degree")
     links = one("tail", "before").join(one("head", "after"), "node")
-    links = C.settle(links.where("before.doc_id = after.doc_id and before.start + before.n = after.start").select("before", "after"), "links")
-    first = links.select(F.col("before").alias("edge")).join(links.select(F.col("after").alias("edge")), "edge", "left_anti")
-    paths_ = links.select(F.col("after").alias("edge"), F.col("before").alias("path"), F.col("before.n").alias("offset"))
-    paths_ = C.settle(paths_.unionByName(first.select("edge", F.col("edge").alias("path"), F.lit(0).alias("offset"))), "reach")
-    while True:
-        further = paths_.select(F.col("edge").alias("path"), F.col("path").alias("first"), F.col("offset").alias("more"))
-        jumped = paths_.join(further, "path").select("edge", F.col("first").alias("path"), (F.col("offset") + F.col("more")).alias("offset"), (F.col("first") != F.col("path")).alias("moved"))
-        jumped = C.settle(jumped, "reach")
-        C.discard(paths_)
-        paths_ = jumped
-        if paths_.where("moved").isEmpty():
-            C.discard(ends, links)
-            return paths_.drop("moved")
+    links = links.where("before.doc_id = after.doc_id and before.kind = after.kind and before.start + before.n = after.start").select("after.*", F.lit(True).alias("linked"))
+    along = Window.partitionBy("doc_id", "kind").orderBy("start", "n")
+    path = F.last(F.when(F.col("linked").isNull(), F.col("start")), ignorenulls=True).over(along)
+    out = C.settle(ends.select(*EDGE).distinct().join(links, EDGE, "left").withColumn("path", path).drop("linked"), "paths")
+    C.discard(ends)
+    return out
 
 
 def spans_of(runs: DataFrame, paths_: DataFrame) -> DataFrame:
-    """(doc_id, start, n): runs (doc_id, start, n, edge) that stand in a document as in their path, end to end, are one."""
-    own = runs.join(paths_, "edge", "left").select("doc_id", "start", "n", F.coalesce("path", "edge").alias("path"), (F.col("start") - F.coalesce("offset", F.lit(0))).alias("shift"))
+    """(doc_id, start, n): runs (at, from_, and the EDGE that they repeat) that stand in a document as in their path, end to end, are one."""
+    source = paths_.select(*EDGE, "path")
+    path = F.coalesce("path", "start")
+    own = runs.join(source, EDGE, "left").select("at", "from_", "n", F.struct("doc_id", path.alias("path"), "kind").alias("path"), (F.col("from_") - (F.col("start") - path)).alias("shift"))
     # As long as a document's part of one path.
-    whole = own.groupBy("doc_id", "path", "shift").agg(F.min("start").alias("a"), F.max(F.col("start") + F.col("n")).alias("b"), F.sum("n").alias("total"), F.collect_set(F.struct("start", "n")).alias("runs"))
-    spans = F.when(F.col("total") == F.col("b") - F.col("a"), F.array(F.struct(F.col("a").alias("start"), (F.col("b") - F.col("a")).alias("n")))).otherwise(F.col("runs"))
-    return whole.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.start", "s.n")
+    whole = own.groupBy("at", "path", "shift").agg(F.min("from_").alias("a"), F.max(F.col("from_") + F.col("n")).alias("b"), F.sum("n").alias("total"), F.collect_set(F.struct(F.col("from_").alias("start"), "n")).alias("runs"))
+    one = F.array(F.struct(F.col("a").alias("start"), (F.col("b") - F.col("a")).alias("n")))
+    spans = F.when(F.col("total") == F.col("b") - F.col("a"), one).otherwise(F.col("runs"))
+    return whole.select(F.col("at").alias("doc_id"), F.explode(spans).alias("s")).select("doc_id", "s.start", "s.n")
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
@@ -190,10 +188,11 @@ def repeated(docs: DataFrame, window: int = WINDOW, anchor_words: int = ANCHOR_W
     sources = C.settle(single.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("source"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times"), "sources")
     later = F.col("source") != F.struct("doc_id", "start")
     again = classes.where("times > 1").select("anchor", "path", "n", "source")
-    edges = again.select("source", "n").unionByName(sources.select("source", F.lit(1).alias("n"))).select("source.doc_id", "source.start", "n").distinct()
-    edge = F.struct("source.doc_id", "source.start", "n").alias("edge")
-    whole = runs.join(again, ["anchor", "path", "n"]).where(later).select("doc_id", "start", "n", edge)
-    opened_ = single.join(sources, ["w1", "w2"]).where(later).withColumn("n", F.lit(1)).select("doc_id", "start", "n", edge)
+    repeats = again.select("source", "n", F.lit(0).alias("kind")).unionByName(sources.select("source", F.lit(1).alias("n"), F.lit(1).alias("kind")))
+    edges = repeats.select("source.doc_id", "source.start", "n", "kind").distinct()
+    place = [F.col("doc_id").alias("at"), F.col("start").alias("from_"), "source.doc_id", "source.start"]
+    whole = runs.join(again, ["anchor", "path", "n"]).where(later).select(*place, "n", F.lit(0).alias("kind"))
+    opened_ = single.join(sources, ["w1", "w2"]).where(later).select(*place, F.lit(1).alias("n"), F.lit(1).alias("kind"))
     found = C.settle(whole.unionByName(opened_), "found")
     C.discard(shared, branching)
     paths_ = compacted(docs, edges, window)
