@@ -66,6 +66,15 @@ def discard(*settled: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df as a side of a join that both sides are shuffled for.
+
+    Spark takes tables for small by their compressed files, before rows are exploded,
+    and would collect them on the driver to broadcast them, however they grow.
+    """
+    return df.hint("merge")
+
+
 def trim() -> None:
     """Give memory that Python and Arrow no longer use back to the system; workers are used again."""
     gc.collect()

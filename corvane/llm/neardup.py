@@ -16,7 +16,8 @@ are held against odd sketches of the full sets: the XOR count never exceeds the
 sets' difference, so a count above what the threshold allows refutes a pair for
 certain.  Only what is left, of different components, comes out to be confirmed.
 Nothing is capped: every pair of a bucket is confirmed, refuted, or known to be
-connected.
+connected.  Tables are joined by shuffles alone: all of them grow with the rows, and
+a broadcast goes through the driver.
 
 With 32 bands of 4 samples, a pair at a similarity of 0.8 shares no bucket with a
 probability of 5e-8, at 0.85 of 6e-11.
@@ -184,10 +185,10 @@ def passing(keys: DataFrame, sketch: DataFrame, most: int, bits: int) -> DataFra
     A bucket's sketch is looked up once and handed to its rows in SALTS portions, so
     neither a large bucket nor an id that leads many of them is a hot key.
     """
-    lead = keys.select("key", "a").distinct().join(sketch.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a")
+    lead = keys.select("key", "a").distinct().join(C.merged(sketch.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"))), "a")
     lead = lead.select("key", "a", "sa", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = keys.where("doc_id != a").select("key", F.col("doc_id").alias("b"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    two = rows.join(lead, ["key", "salt"]).select("a", "b", "sa").dropDuplicates(["a", "b"]).join(sketch.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
+    two = rows.join(C.merged(lead), ["key", "salt"]).select("a", "b", "sa").dropDuplicates(["a", "b"]).join(C.merged(sketch.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"))), "b")
     differ = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(bits // 64)), F.lit(0))
     return two.where(differ <= most).select("a", "b")
 
@@ -224,35 +225,40 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     wanted = C.settle(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
-    full = C.settle(C.map_arrow(docs.join(wanted, "doc_id"), sets, "doc_id long, set binary"), "sets")
+    full = C.settle(C.map_arrow(docs.join(C.merged(wanted), "doc_id"), sets, "doc_id long, set binary"), "sets")
     # Ids that several texts share have several sets; their pairs are joined one by one.
     several = C.settle(full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("a")), "several")
-    plain, pairs = pairs.join(several, "a", "left_semi"), pairs.join(several, "a", "left_anti")
-    one = plain.join(full.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
-    joined = one.select("a", "b", "set_a", "set_b").mapInArrow(lambda batches: (compare_rows(batch) for batch in batches), "a long, b long")
-    # A set travels once for each PAIRS_A_SET of its pairs, ahead of the sets that it is compared with.
+    # A set travels once for each PAIRS_A_SET of its pairs, ahead of the sets that it is compared with; parts is 0 for several sets.
     counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_SET).cast("int").alias("parts"))
-    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
-    left = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(full.select(F.col("doc_id").alias("a"), "set"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "set")
-    right = dealt.join(full.select(F.col("doc_id").alias("b"), "set"), "b").select("a", "part", "b", "set")
+    counts = counts.join(C.merged(several.withColumn("plain", F.lit(0))), "a", "left").select("a", F.coalesce("plain", "parts").alias("parts"))
+    counts = C.settle(counts, "parts")
+    portions = counts.select("a", "parts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(C.merged(portions), ["a", "salt"])
+    dealt = C.settle(dealt.select("a", "b", "parts"), "dealt")
+    plain, shared = dealt.where("parts = 0").select("a", "b"), counts.where("parts > 0")
+    parted = dealt.where("parts > 0").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    one = plain.join(C.merged(full.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"))), "a").join(C.merged(full.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))), "b")
+    joined = one.select("a", "b", "set_a", "set_b").mapInArrow(lambda batches: (compare_rows(batch) for batch in batches), "a long, b long")
+    left = shared.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(C.merged(full.select(F.col("doc_id").alias("a"), "set")), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "set")
+    right = parted.join(C.merged(full.select(F.col("doc_id").alias("b"), "set")), "b").select("a", "part", "b", "set")
     met = left.unionByName(right).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     out = C.settle(met.select("a", "b", "set").mapInArrow(compare, "a long, b long").unionByName(joined).distinct(), "confirmed")
-    C.discard(wanted, full, several)
+    C.discard(wanted, full, several, counts, dealt)
     return out
 
 
 def cross_pairs(keys: DataFrame, labels: DataFrame, reps: DataFrame, most: int, percent: int) -> DataFrame:
     """Pairs of different components within the buckets of keys (key, doc_id) that their sketches let pass."""
-    labelled = keys.join(labels.select("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    sized = labelled.join(reps.select("doc_id", "n_shingles", F.length("odd").alias("bytes")), "doc_id")
+    labelled = keys.join(C.merged(labels.select("doc_id", "component")), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    sized = labelled.join(C.merged(reps.select("doc_id", "n_shingles", F.length("odd").alias("bytes"))), "doc_id")
     open_keys = sized.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("size > 2 and lo != hi").select("key", "size", "bytes")
     open_keys = C.settle(open_keys, "open")
-    rows = labelled.join(open_keys, "key").join(reps.select("doc_id", "n_shingles", "sketch", "odd"), "doc_id")
+    rows = labelled.join(C.merged(open_keys), "key").join(C.merged(reps.select("doc_id", "n_shingles", "sketch", "odd")), "doc_id")
     rows = rows.withColumn("blocks", F.greatest(F.ceil(F.col("size") / MEMBERS_A_BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     blocks = C.settle(rows.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("doc_id", "component", "n_shingles", "sketch", "odd")).alias("members")), "blocks")
     left = blocks.select("key", "block", "members", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other"))
-    met = left.join(blocks.select("key", F.col("block").alias("other"), F.col("members").alias("others")), ["key", "other"])
+    met = left.join(C.merged(blocks.select("key", F.col("block").alias("other"), F.col("members").alias("others"))), ["key", "other"])
 
     def compare(batches):
         for batch in batches:
@@ -270,23 +276,23 @@ def classes(docs: DataFrame, percent: int, k: int = SHINGLE, bands: int = BANDS,
     signed = C.settle(signatures(docs, k, bands, rows), "signatures")
     real = signed.where("n_shingles > 0 and doc_id is not null")
     same = C.settle(real.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep")), "same")
-    reps = real.join(same.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
+    reps = real.join(C.merged(same.select(F.col("rep").alias("doc_id")).distinct()), "doc_id")
     reps = C.settle(reps.select("doc_id", "n_shingles", "bands", "sketch", "odd"), "representatives")
     sketch = reps.select("doc_id", "sketch")
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = C.settle(keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a != z").select("key", "a"), "buckets")
-    keys = C.settle(keys.join(shared, "key").select("key", "doc_id", "a"), "keys")
+    keys = C.settle(keys.join(C.merged(shared), "key").select("key", "doc_id", "a"), "keys")
     most = most_xor(percent / 100, bands * rows, SKETCH_BITS)
     first = C.settle(passing(keys, sketch, most, SKETCH_BITS), "pairs")
     # Rows of one doc_id with different texts, and the sets equal to a representative's, are links as they stand.
-    twins = real.join(same, ["n_shingles", "h1", "h2"]).where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    twins = real.join(C.merged(same), ["n_shingles", "h1", "h2"]).where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     edges = C.settle(confirm(first, docs, k, percent), "links")
     labels = components(edges)
     rest = C.settle(cross_pairs(keys.select("key", "doc_id").distinct(), labels.withColumnRenamed("id", "doc_id"), reps, most, percent), "rest")
     if not rest.isEmpty():
         edges = edges.unionByName(confirm(rest, docs, k, percent))
     labels = components(edges.unionByName(twins))
-    found = signed.select("doc_id", "n_shingles").join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+    found = signed.select("doc_id", "n_shingles").join(C.merged(labels.select(F.col("id").alias("doc_id"), "component")), "doc_id", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

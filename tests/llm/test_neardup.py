@@ -76,6 +76,22 @@ def test_empty_table_repeated_rows_null_ids(docs_of):
     assert sorted((r.doc_id or -1, r.component_id, r.kept) for r in out) == [(-1, None, True), (4, 4, True), (4, 4, True), (9, 4, False)]
 
 
+def test_no_join_broadcasts_a_table_through_the_driver(docs_of, monkeypatch):
+    plans = []
+    settle = neardup.C.settle
+
+    def keep(df, name):
+        out = settle(df, name)
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(neardup.C, "settle", keep)
+    docs = docs_of(corpus(1)).repartition(4)
+    keep(neardup.dedup(docs, 85), "result")
+    assert {"pairs", "links", "moved", "labels", "open", "rest", "result"} <= {name for name, _ in plans}
+    assert not [name for name, plan in plans if "Broadcast" in plan]
+
+
 def test_components_of_a_long_path(spark):
     order = list(range(60))
     random.Random(4).shuffle(order)
