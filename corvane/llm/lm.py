@@ -10,8 +10,11 @@ Then each text's subword ids are written out once, and further passes over them
 gather what the model learns, all from every training document: which frequent ids
 stand beside an id (k-means over them gives the classes) and how often an id follows
 each class.  The network, one attention layer that predicts the class of the next
-subword, is trained in numpy on windows drawn by a hash from all positions of all
-training documents; their number, and so the steps, grow with the input.  Within a
+subword, is trained in numpy on all windows of all training documents: up to STEPS
+batches on the driver, repeated until there are STEPS, and more of them where they
+lie, each once.  There each task trains on its own windows, in rounds that start from
+one network, and networks are averaged between rounds; so the figures follow how the
+rows are dealt to tasks.  Within a
 class a subword has its share of the class's count, over all and after each class.
 A text is scored in windows of WINDOW positions that overlap by OVERLAP; a window
 scores the positions that follow its overlap, so each subword, and the end, is
@@ -46,7 +49,9 @@ TOP_IDS = 2048  # ids with an input vector of their own
 CHUNK = 128  # windows scored at a time, so that arrays stay in the cache
 STEPS = 1000  # at least
 BATCH = 128
-SHARE = 1 / 16  # of all training windows that the network is fitted on; more where that is under STEPS * BATCH
+SHARE = 1  # of all training windows that the network is fitted on
+ROUNDS = (1 / 64, 1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2)  # shares of each task's windows, between which networks are averaged
+BUFFER = 1 << 16  # windows that a task trains on at a time
 FREQUENT = 128  # ids whose places beside an id tell its class
 
 
@@ -92,7 +97,8 @@ class Attention:
     def forward(self, x: np.ndarray):
         p, t = self.p, x.shape[1]
         e = p["E"][x] + p["P"][:t]
-        q, k, v = e @ p["Q"], e @ p["K"], e @ p["V"]
+        times = lambda x, w: (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], -1)  # noqa: E731  one product, not one a window
+        q, k, v = times(e, p["Q"]), times(e, p["K"]), times(e, p["V"])
         a = q @ k.transpose(0, 2, 1)
         a *= np.float32(1 / np.sqrt(WIDTH))
         np.clip(a, -20, 20, out=a)
@@ -101,8 +107,8 @@ class Attention:
         a *= self.mask[:t, :t] == 0
         a /= a @ self.ones[: a.shape[2], None]
         c = a @ v
-        h = e + c @ p["O"]
-        z = h @ p["U"]
+        h = e + times(c, p["O"])
+        z = times(h, p["U"])
         z += p["b"]
         np.clip(z, -40, 40, out=z)
         return e, q, k, v, a, c, h, z
@@ -117,28 +123,58 @@ class Attention:
     def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray):
         p, t, s = self.p, x.shape[1], np.float32(1 / np.sqrt(WIDTH))
         e, q, k, v, a, c, h, z = self.forward(x)
-        prob = np.exp(z)
-        prob /= prob.sum(2, keepdims=True)
-        d = prob
-        np.put_along_axis(d, y[:, :, None], np.take_along_axis(d, y[:, :, None], 2) - 1, 2)
-        d *= weight[:, :, None] / max(1.0, weight.sum())
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = {"U": flat(h).T @ flat(d), "b": flat(d).sum(0)}
-        dh = d @ p["U"].T
+        d = flat(np.exp(z, out=z))
+        weight = weight.ravel() / max(1.0, weight.sum())
+        d *= (weight / (d @ self.ones[: d.shape[1]]))[:, None]
+        d[np.arange(len(d)), y.ravel()] -= weight
+        g = {"U": flat(h).T @ d, "b": d.sum(0)}
+        dh = (d @ p["U"].T).reshape(h.shape)
         g["O"] = flat(c).T @ flat(dh)
-        dc = dh @ p["O"].T
+        dc = (flat(dh) @ p["O"].T).reshape(h.shape)
         da, dv = dc @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dc
-        ds = a * (da - (a * da).sum(2, keepdims=True)) * s
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        da -= (dc * c).sum(2, keepdims=True)  # the sum of a * da over what is attended to
+        da *= a
+        da *= s
+        dq, dk = da @ k, da.transpose(0, 2, 1) @ q
         for name, m in (("Q", dq), ("K", dk), ("V", dv)):
             g[name] = flat(e).T @ flat(m)
-        de = dh + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
+        de = dh + (flat(dq) @ p["Q"].T + flat(dk) @ p["K"].T + flat(dv) @ p["V"].T).reshape(h.shape)
         g["P"] = np.zeros_like(p["P"])
         g["P"][:t] = de.sum(0)
         g["E"] = np.stack([np.bincount(x.ravel(), flat(de)[:, j], len(p["E"])) for j in range(WIDTH)], 1).astype(np.float32)
         return g
 
 
+class Adam:
+    """A network and the state of its training; one vector where they travel."""
+
+    def __init__(self, net: Attention):
+        self.net, self.t = net, 0.0
+        self.m = {k: np.zeros_like(v) for k, v in net.p.items()}
+        self.r = {k: np.zeros_like(v) for k, v in net.p.items()}
+
+    def step(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, done: float) -> None:
+        """done: the share of the whole training up to here; the rate falls over its second half."""
+        self.t += 1
+        rate = np.float32(0.02 * min(1.0, 2 * max(0.0, 1 - done)))
+        first, second = np.float32(1 - 0.9**self.t), np.float32(1 - 0.98**self.t)
+        for k, v in self.net.gradients(x, y, weight).items():
+            m = self.m[k] = 0.9 * self.m[k] + 0.1 * v
+            r = self.r[k] = 0.98 * self.r[k] + 0.02 * v * v
+            self.net.p[k] -= rate * (m / first) / (np.sqrt(r / second) + np.float32(1e-8))
+
+    def vector(self) -> np.ndarray:
+        return np.concatenate([[self.t], *(v.ravel() for d in (self.net.p, self.m, self.r) for v in d.values())]).astype(np.float64)
+
+    def load(self, vector: np.ndarray) -> None:
+        self.t, at = float(vector[0]), 1
+        for d in (self.net.p, self.m, self.r):
+            for k, v in d.items():
+                d[k] = vector[at : at + v.size].reshape(v.shape).astype(np.float32)
+                at += v.size
+
+
 def pairs_of(ids: np.ndarray, ends: np.ndarray, end_id: int):
     """Of every subword of the texts, and each text's end: what stands before it, and itself; some at a time."""
     stream = np.concatenate([np.array([end_id], ids.dtype), np.insert(ids, ends[1:], end_id)])
@@ -165,12 +201,20 @@ def windows_in(n: np.ndarray) -> np.ndarray:
     return 1 + np.maximum(0, -(-(n - WINDOW) // (WINDOW - OVERLAP)))
 
 
-def slices_of(ids: np.ndarray, ends: np.ndarray, end_id: int):
-    """Of each window: WINDOW + 1 ids, its text, its first position, and the positions from there to the text's end."""
+def of_round(n: int, begin: float, end: float) -> np.ndarray:
+    """Which of n windows a round takes that goes from the share begin to the share end; rounds from 0 to 1 take each once."""
+    return np.random.default_rng(n).permutation(n)[int(n * begin) : int(n * end)]
+
+
+def slices_of(ids: np.ndarray, ends: np.ndarray, end_id: int, pick=None):
+    """Of each window, or those that pick takes of their number: WINDOW + 1 ids, its text, its first position, and the positions from there to the text's end."""
     n = (np.diff(ends) + 1).astype(np.int32)  # with the end
     many = windows_in(n)
     doc = np.repeat(np.arange(len(n), dtype=np.int32), many)
     begin = ((np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * (WINDOW - OVERLAP)).astype(np.int32)
+    if pick is not None:
+        own = pick(len(doc))
+        doc, begin = doc[own], begin[own]
     # One stream with an end before each text's first id; every window is a slice of it.
     stream = np.insert(ids, ends[:-1], end_id)
     stream = np.append(stream, np.full(WINDOW + 1, end_id)).astype(np.int32)
@@ -184,7 +228,7 @@ class Texts:
     def __init__(self, texts: list[np.ndarray], end_id: int, rng):
         self.ids, self.end_id, self.rng = np.concatenate([*texts, np.zeros(0, np.int64)]).astype(np.int64), end_id, rng
         self.ends = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
-        self.some, self.steps = len(texts) > 0, STEPS
+        self.some, self.steps, self.spread = len(texts) > 0, STEPS, False
 
     def table(self, keys, marks: np.ndarray, rows: int) -> np.ndarray:
         cells = rows * len(marks)
@@ -210,6 +254,12 @@ class Model:
         if not self.trained:
             return
         self.cls = classes_of(counts, source.table(beside_keys, frequent_column(counts), 2 * (FREQUENT + 1)), CLASSES).astype(np.int32)
+        top = np.argsort(-counts, kind="stable")[:TOP_IDS]
+        self.input = self.cls.copy()
+        self.input[top] = CLASSES + np.arange(len(top))
+        self.start = CLASSES + TOP_IDS
+        self.net = Attention(CLASSES + TOP_IDS + 1, CLASSES, rng)
+        self.fit(source)
         # The share of an id in its class: over all training documents, and after each class.
         smooth = counts + 0.1
         share = (smooth / np.bincount(self.cls, smooth, CLASSES)[self.cls]).astype(np.float32)
@@ -218,24 +268,15 @@ class Model:
         pairs += np.float32(BACK_OFF) * share
         pairs /= (of_class + np.float32(BACK_OFF))[:, self.cls]
         self.log_share = np.log(pairs, out=pairs)
-        top = np.argsort(-counts, kind="stable")[:TOP_IDS]
-        self.input = self.cls.copy()
-        self.input[top] = CLASSES + np.arange(len(top))
-        self.start = CLASSES + TOP_IDS
-        self.net = Attention(CLASSES + TOP_IDS + 1, CLASSES, rng)
-        self.fit(source)
 
     def fit(self, source) -> None:
-        m = {k: np.zeros_like(v) for k, v in self.net.p.items()}
-        r = {k: np.zeros_like(v) for k, v in self.net.p.items()}
+        adam = Adam(self.net)
+        if source.spread:
+            source.fit(self, adam)
+            return
         for t, (slices, begin, left, times) in enumerate(source.batches(), 1):
             x, y, real, _ = self.positions(slices, begin, left)
-            g = self.net.gradients(x, self.cls[y], real * times[:, None])
-            rate = np.float32(0.02 * min(1.0, 2 * max(0.0, 1 - t / (source.steps + 1))))
-            for k, v in g.items():
-                m[k] = 0.9 * m[k] + 0.1 * v
-                r[k] = 0.98 * r[k] + 0.02 * v * v
-                self.net.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(r[k] / (1 - 0.98**t)) + np.float32(1e-8))
+            adam.step(x, self.cls[y], real * times[:, None], t / (source.steps + 1))
 
     def positions(self, slices: np.ndarray, begin: np.ndarray, left: np.ndarray):
         """Of windows: inputs, targets, which positions are scored, and the class before each target."""
@@ -386,7 +427,6 @@ def entries(data: list[bytes], kind: str):
 
 
 STREAMS = "doc_ids array<long>, held array<boolean>, seen array<long>, base array<double>, ends array<long>, ids binary, windows long"
-DRAWN = 1 << 20
 
 
 def training_part(row):
@@ -421,15 +461,18 @@ def table_row(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.frombuffer(raw, "<u4", k)), np.frombuffer(raw, "<u8", k, 4 * k).astype(np.int64)
 
 
+STATES = "part int, used long, data binary"
+
+
 class Corpus:
-    """What the model learns from the streams of all training documents, summed or drawn by Spark."""
+    """What the model learns from the streams of all training documents, summed by Spark."""
 
     def __init__(self, streams: DataFrame, end_id: int, kind: str):
         self.streams, self.end_id, self.kind = streams, end_id, kind
         (self.n,) = streams.select(F.coalesce(F.sum("windows"), F.lit(0))).first()
-        self.share = min(1.0, max(SHARE, STEPS * BATCH / max(1, self.n)))
+        self.share, self.used = SHARE, 0
         self.parts = max(1, round(self.n * self.share / BATCH))
-        self.some, self.steps = self.n > 0, max(STEPS, self.parts)
+        self.some, self.steps, self.spread = self.n > 0, max(STEPS, self.parts), self.parts > STEPS
 
     def table(self, keys, marks: np.ndarray, rows: int) -> np.ndarray:
         """Counts of all cells; bounded by the tokenizer's vocabulary.
@@ -472,12 +515,69 @@ class Corpus:
             out[r, ids] += n
         return out
 
-    def drawn(self) -> DataFrame:
-        """(part, windows, times): windows drawn by a hash of what they hold and where, equal ones once, in parts of about BATCH."""
-        end_id, kind, least, parts = self.end_id, self.kind, int(DRAWN * self.share), self.parts
+    def fit(self, model: Model, adam: Adam) -> None:
+        """Train on every window of all training documents once, where they lie; used counts them.
+
+        Each task starts a round from the same network and goes through its own windows
+        of it; networks and moments are averaged by windows, in two steps, so the driver
+        gets 16 at most.  Rounds are short at first, while networks still move apart.
+        """
+        end_id, kind, size, most = self.end_id, self.kind, BATCH, BUFFER
+
+        def train(batches, begin, end):
+            part = TaskContext.get().partitionId()
+            rng, held, used = np.random.default_rng(part), [], 0
+
+            def learn():
+                nonlocal used
+                slices, first, left = (np.concatenate(c) for c in zip(*held))
+                held.clear()
+                order = rng.permutation(len(slices))
+                for at in range(0, len(order), size):
+                    own = order[at : at + size]
+                    x, y, real, _ = model.positions(slices[own], first[own], left[own])
+                    adam.step(x, model.cls[y], real.astype(np.float32), begin + (end - begin) * at / len(order))
+                used += len(order)
+
+            for batch in batches:
+                for _, *row in rows_of(batch, kind):
+                    slices, _, first, left = slices_of(*training_part(row), end_id, lambda n: of_round(n, begin, end))
+                    if len(slices):
+                        held.append((slices, first, left))
+                    if sum(len(x[0]) for x in held) >= most:
+                        learn()
+            if held:
+                learn()
+            if used:
+                yield state(part, used, adam.vector() * used)
+            C.trim()
+
+        def state(part, used, vector):
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([used], pa.int64()), pa.array([vector.tobytes()], pa.binary())], ["part", "used", "data"])
+
+        def add(batches):
+            part, used, total = None, 0, 0.0
+            for batch in batches:
+                for p, n, data in zip(*(batch.column(c).to_pylist() for c in ("part", "used", "data"))):
+                    part, used, total = p if part is None else part, used + n, total + np.frombuffer(data)
+            if used:
+                yield state(part, used, total)
+
+        for k, share in enumerate(ROUNDS):
+            begin = sum(ROUNDS[:k])
+            sent = self.streams.select("held", "ends", "ids").mapInArrow(lambda batches, a=begin, b=begin + share: train(batches, a, b), STATES)
+            got = sent.repartition(F.col("part") % 16).sortWithinPartitions("part").mapInArrow(add, STATES).toArrow().sort_by("part")
+            n = int(pc.sum(got.column("used")).as_py() or 0)
+            if n:
+                adam.load(sum(np.frombuffer(x) for x in got.column("data").to_pylist()) / n)
+                self.used += n
+
+    def dealt(self) -> DataFrame:
+        """(part, windows, times): all windows by a hash of what they hold and where, equal ones once, in parts of about BATCH."""
+        end_id, kind, parts = self.end_id, self.kind, self.parts
         odd = np.random.default_rng(7).integers(0, 1 << 62, WINDOW + 3, np.uint64) * np.uint64(2) + np.uint64(1)
 
-        def draw(batches):
+        def deal(batches):
             for batch in batches:
                 for i, *row in rows_of(batch, kind):
                     slices, doc, begin, left = slices_of(*training_part(row), end_id)
@@ -486,10 +586,9 @@ class Corpus:
                     for j in range(WINDOW + 1):
                         h += slices[:, j].astype(np.uint64) * odd[j]
                     h = C.mix(C.mix(h))
-                    use = np.flatnonzero((h & np.uint64(DRAWN - 1)) < least)
-                    w = np.column_stack([slices[use], begin[use] == 0, np.minimum(left[use], WINDOW + 1)]).astype("<u4")
-                    part = (C.mix(h[use] >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(C.signed(h[use])), pa.array([x.tobytes() for x in w], pa.binary())], ["part", "h", "w"])
+                    w = np.column_stack([slices, begin == 0, np.minimum(left, WINDOW + 1)]).astype("<u4")
+                    part = (C.mix(h >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(C.signed(h)), pa.array([x.tobytes() for x in w], pa.binary())], ["part", "h", "w"])
 
         def pack(batches):
             for batch in batches:
@@ -497,13 +596,13 @@ class Corpus:
                 columns = [batch.column("part"), pa.array([b"".join(x.field("w").to_pylist()) for x in lists], pa.binary()), pa.array([np.asarray(x.field("times"), np.float32).tobytes() for x in lists], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["part", "windows", "times"])
 
-        one = self.streams.select("doc_ids", "held", "ends", "ids").mapInArrow(draw, "part long, h long, w binary").groupBy("part", "h", "w").agg(F.count(F.lit(1)).alias("times"))
+        one = self.streams.select("doc_ids", "held", "ends", "ids").mapInArrow(deal, "part long, h long, w binary").groupBy("part", "h", "w").agg(F.count(F.lit(1)).alias("times"))
         groups = one.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("h", "w", "times"))).alias("own"))
         return groups.mapInArrow(pack, "part long, windows binary, times binary")
 
     def batches(self):
         """One batch a step: each part once, or again until there are STEPS."""
-        parts, kept, done = C.settle(self.drawn(), "drawn").orderBy("part"), [], 0
+        parts, kept, done = C.settle(self.dealt(), "dealt").orderBy("part"), [], 0
 
         def arrays(r):
             w = np.frombuffer(r.windows, "<u4").reshape(-1, WINDOW + 3).astype(np.int32)

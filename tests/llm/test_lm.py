@@ -137,6 +137,27 @@ def test_windows_drawn_grow_with_the_documents(docs_of, monkeypatch):
     assert times[1] > 3 * times[0] and abs(times[1] / (many.n * lm.SHARE) - 1) < 0.5
 
 
+def test_the_network_is_fitted_on_every_window_where_it_lies(docs_of, monkeypatch):
+    rnd = random.Random(6)
+    rows = [(i, " ".join(f"w{rnd.randrange(30)}" for _ in range(rnd.choice([1, 3, 9, 60])))) for i in range(2000)]
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 4000)
+    source, _, model = scored(docs_of, monkeypatch, rows, STEPS=5, BATCH=8)
+    windows = sum(int(lm.windows_in(np.array([len(x) + 1]))[0]) for x in training(rows))
+    assert source.n == windows > 5 * 8 and source.used == windows
+    texts = [np.array(x) for x in training(rows)[:200]]
+    flat, ends = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    fitted = model.score(flat, ends).sum()
+    model.net = lm.Attention(len(model.net.p["E"]), lm.CLASSES, np.random.default_rng(5))
+    assert fitted > model.score(flat, ends).sum()
+
+
+def test_rounds_take_each_window_once():
+    assert sum(lm.ROUNDS) == 1
+    for n in (0, 1, 5, 63, 64, 1000):
+        taken = [lm.of_round(n, sum(lm.ROUNDS[:k]), sum(lm.ROUNDS[: k + 1])) for k in range(len(lm.ROUNDS))]
+        assert sorted(np.concatenate(taken).tolist()) == list(range(n))
+
+
 def test_windows_come_from_whole_documents(docs_of, monkeypatch):
     used = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2)
     rows = [(used, " ".join(f"w{i % 700}" for i in range(6000)))]
