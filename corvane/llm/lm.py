@@ -94,8 +94,10 @@ class Attention:
         self.ones = np.ones(max(WINDOW, classes), np.float32)
         self.mask = np.triu(np.full((WINDOW, WINDOW), -30, np.float32), 1)
 
-    def forward(self, x: np.ndarray):
+    def forward(self, x: np.ndarray, own=slice(None)):
+        """own: which positions, counted through all windows, get scores of classes; h and z have a row for each of these."""
         p, t = self.p, x.shape[1]
+        flat = lambda m: m.reshape(-1, m.shape[-1])
         e = p["E"][x] + p["P"][:t]
         times = lambda x, w: (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], -1)  # noqa: E731  one product, not one a window
         q, k, v = times(e, p["Q"]), times(e, p["K"]), times(e, p["V"])
@@ -107,42 +109,45 @@ class Attention:
         a *= self.mask[:t, :t] == 0
         a /= a @ self.ones[: a.shape[2], None]
         c = a @ v
-        h = e + times(c, p["O"])
-        z = times(h, p["U"])
+        h = flat(e)[own] + flat(c)[own] @ p["O"]
+        z = h @ p["U"]
         z += p["b"]
         np.clip(z, -40, 40, out=z)
         return e, q, k, v, a, c, h, z
 
-    def log_probs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each class y after the inputs x up to it."""
-        z = self.forward(x)[-1]
-        own = np.take_along_axis(z, y[:, :, None], 2)[:, :, 0]
+    def log_probs(self, x: np.ndarray, y: np.ndarray, own=slice(None)) -> np.ndarray:
+        """Natural log-probability of each class y after the inputs x up to it, at the positions own."""
+        z = self.forward(x, own)[-1]
+        got = z[np.arange(len(z)), y.ravel()[own]]
         np.exp(z, out=z)
-        return own - np.log(z @ self.ones[: z.shape[2]])
+        return got - np.log(z @ self.ones[: z.shape[1]])
 
     def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray):
         p, t, s = self.p, x.shape[1], np.float32(1 / np.sqrt(WIDTH))
-        e, q, k, v, a, c, h, z = self.forward(x)
+        own = np.flatnonzero(weight)  # others add nothing
+        e, q, k, v, a, c, h, z = self.forward(x, own)
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        d = flat(np.exp(z, out=z))
-        weight = weight.ravel() / max(1.0, weight.sum())
+        d = np.exp(z, out=z)
+        weight = weight.ravel()[own] / max(1.0, weight.sum())
         d *= (weight / (d @ self.ones[: d.shape[1]]))[:, None]
-        d[np.arange(len(d)), y.ravel()] -= weight
-        g = {"U": flat(h).T @ d, "b": d.sum(0)}
-        dh = (d @ p["U"].T).reshape(h.shape)
+        d[np.arange(len(d)), y.ravel()[own]] -= weight
+        g = {"U": h.T @ d, "b": np.ones(len(d), d.dtype) @ d}
+        dh = np.zeros_like(e)
+        flat(dh)[own] = d @ p["U"].T
         g["O"] = flat(c).T @ flat(dh)
-        dc = (flat(dh) @ p["O"].T).reshape(h.shape)
+        dc = (flat(dh) @ p["O"].T).reshape(e.shape)
         da, dv = dc @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dc
-        da -= (dc * c).sum(2, keepdims=True)  # the sum of a * da over what is attended to
+        da -= np.einsum("ijk,ijk->ij", dc, c)[:, :, None]  # the sum of a * da over what is attended to
         da *= a
         da *= s
         dq, dk = da @ k, da.transpose(0, 2, 1) @ q
         for name, m in (("Q", dq), ("K", dk), ("V", dv)):
             g[name] = flat(e).T @ flat(m)
-        de = dh + (flat(dq) @ p["Q"].T + flat(dk) @ p["K"].T + flat(dv) @ p["V"].T).reshape(h.shape)
+        de = dh + (flat(dq) @ p["Q"].T + flat(dk) @ p["K"].T + flat(dv) @ p["V"].T).reshape(e.shape)
         g["P"] = np.zeros_like(p["P"])
         g["P"][:t] = de.sum(0)
-        g["E"] = np.stack([np.bincount(x.ravel(), flat(de)[:, j], len(p["E"])) for j in range(WIDTH)], 1).astype(np.float32)
+        cells = (x.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+        g["E"] = np.bincount(cells, de.ravel(), p["E"].size).reshape(-1, WIDTH).astype(np.float32)
         return g
 
 
@@ -217,9 +222,9 @@ def slices_of(ids: np.ndarray, ends: np.ndarray, end_id: int, pick=None):
         doc, begin = doc[own], begin[own]
     # One stream with an end before each text's first id; every window is a slice of it.
     stream = np.insert(ids, ends[:-1], end_id)
-    stream = np.append(stream, np.full(WINDOW + 1, end_id)).astype(np.int32)
+    stream = np.append(stream, np.full(WINDOW + 1, end_id, stream.dtype))
     place = (ends[:-1][doc] + doc + begin).astype(np.int64)
-    return np.lib.stride_tricks.sliding_window_view(stream, WINDOW + 1)[place], doc, begin, n[doc] - begin
+    return np.lib.stride_tricks.sliding_window_view(stream, WINDOW + 1)[place].astype(np.int32), doc, begin, n[doc] - begin
 
 
 class Texts:
@@ -304,9 +309,10 @@ class Model:
             stop = max(at + 1, int(np.searchsorted(ends, ends[at] + 16_000 * stride, side="right")) - 1)
             x, y, real, doc, b = self.windows(ids[ends[at] : ends[stop]], ends[at : stop + 1] - ends[at])
             for i in range(0, len(x), CHUNK):
-                p, q = x[i : i + CHUNK], y[i : i + CHUNK]
-                got = self.net.log_probs(p, self.cls[q]) + self.log_share[b[i : i + CHUNK], q]
-                out[at:stop] += np.bincount(doc[i : i + CHUNK], np.where(real[i : i + CHUNK], got, 0).sum(1), stop - at)
+                q, scored = y[i : i + CHUNK], real[i : i + CHUNK]
+                own = np.flatnonzero(scored)
+                got = self.net.log_probs(x[i : i + CHUNK], self.cls[q], own) + self.log_share[b[i : i + CHUNK].ravel()[own], q.ravel()[own]]
+                out[at:stop] += np.bincount(np.repeat(doc[i : i + CHUNK], scored.sum(1)), got, stop - at)
             at = stop
         return out / np.log(10)
 
