@@ -324,6 +324,13 @@ def is_complete(df: DataFrame) -> Column:
     return base & F.when(kind_ == "verbete", (c("contentor") != "") | (c("editora") != "")).when(kind_ == "artigo", (c("contentor") != "") | (c("doi_ou_url") != "")).otherwise(True)
 
 
+def nth_letter(n: Column) -> Column:
+    """The n-th character from a on, by code point; where there is no such character (surrogates, the end of Unicode), the number after a hyphen."""
+    code = 96 + n
+    char = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+    return F.when((code < 0xD800) | ((code > 0xDFFF) & (code <= 0x10FFFF)), char).otherwise(F.concat(F.lit("-"), n.cast("string")))
+
+
 def with_year_suffixes(df: DataFrame) -> DataFrame:
     """df (doc_id, autores, ano, titulo, path) with suffix: a, b, c ... in the order of titles where a surname and year have several works."""
     who = F.coalesce(surname(F.get(authors_of(F.col("autores")), F.lit(0))), F.lit(""))
@@ -332,7 +339,7 @@ def with_year_suffixes(df: DataFrame) -> DataFrame:
     open_ = (F.col("_who") == "") & (F.col("_year") == "n.d.")
     # Works without surname and year are one key and need no place: they are set apart first.
     rest = keyed.where(~open_).withColumn("_k", F.count(F.lit(1)).over(by)).withColumn("_r", F.row_number().over(by.orderBy("_title", "doc_id")))
-    rest = rest.withColumn("suffix", F.when(F.col("_k") > 1, F.char(96 + F.col("_r"))).otherwise("")).drop("_k", "_r")
+    rest = rest.withColumn("suffix", F.when(F.col("_k") > 1, nth_letter(F.col("_r"))).otherwise("")).drop("_k", "_r")
     return rest.unionByName(keyed.where(open_).withColumn("suffix", F.lit(""))).drop("_who", "_year", "_title")
 
 
