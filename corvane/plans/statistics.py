@@ -11,7 +11,7 @@ from corvane.operators import near as N
 from corvane.operators import stats as S
 from corvane.operators import triage as G
 from corvane.plans import profile as P
-from corvane.plans.base import AGREED, BAND, FLAGS, HITS, MASS, REF, TOKENS, TRIAGED, agreed, ctx, flagged, hits, quoted, register, table, triaged, windows, file_path
+from corvane.plans.base import AGREED, BAND, FLAGS, HITS, MASS, REF, TOKENS, TRIAGED, agreed, close, ctx, flagged, hits, quoted, register, table, triaged, windows, file_path
 
 
 
@@ -22,7 +22,7 @@ def rows():
 @register("g_cooccurrence", f"WITH {HITS} SELECT a.term AS term_a, b.term AS term_b, count(*) AS n FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.line = b.line AND a.term < b.term GROUP BY ALL ORDER BY n DESC, term_a, term_b LIMIT 200")
 def g_cooccurrence(spark, sf_dir):
     """Pairs of terms within a row, made in the row: it has one hit a term."""
-    sets = windows(spark, sf_dir).select(F.array_sort(F.col("found.term")).alias("t"))
+    sets = close(spark, sf_dir).select(F.array_sort(F.col("found.term")).alias("t"))
     pairs = F.flatten(F.transform("t", lambda a, i: F.transform(F.slice(F.col("t"), i + 2, F.greatest(F.size("t") - i - 1, F.lit(0))), lambda b: F.struct(a.alias("term_a"), b.alias("term_b")))))
     found = sets.select(F.explode_outer(pairs).alias("p")).where("p is not null")
     return found.groupBy("p.term_a", "p.term_b").agg(rows()).orderBy(F.desc("n"), "term_a", "term_b").limit(200)
